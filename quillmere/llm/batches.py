@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from quillmere.sources.ship import ship
+
 ROWS_OUT = 4096
 
 
@@ -19,6 +21,7 @@ def documents(spark, sf_dir: str) -> DataFrame:
 
 def id_text(docs: DataFrame) -> DataFrame:
     """doc_id and text alone, so that clashing extra columns never matter and the scan reads no others."""
+    ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 

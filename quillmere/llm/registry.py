@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from quillmere.llm.byte_bpe import op5_byte_bpe
+from quillmere.llm.decontaminate import op8_decontaminate
+from quillmere.llm.quality import op6_quality_rules
+from quillmere.llm.simhash import op9_simhash
 from quillmere.llm.token_counts import op2_token_counts
 from quillmere.llm.token_files import op3_token_files
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_token_files, op5_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_token_files, op5_byte_bpe, op6_quality_rules, op8_decontaminate, op9_simhash)}
 SQL: dict[str, str] = {}
