@@ -13,8 +13,10 @@ kept, ordered by their ids. Empty table: an empty file. Very long documents: a b
 
 from __future__ import annotations
 
-import zlib
+import re
+import struct
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -28,7 +30,7 @@ EVERY = 256
 BLOCK_IDS = 1 << 18
 CACHE_WORDS = 400_000
 _tokenizers: dict[str, object] = {}
-_caches: dict[str, dict] = {}
+_caches: dict[str, Cache] = {}
 
 
 # --- ids of texts -------------------------------------------------------------------------------------------------
@@ -45,19 +47,56 @@ def tokenizer(path: str):
     return _tokenizers[path]
 
 
-def ids_of(text: str, tok, cache: dict[str, bytes]) -> bytes:
-    """The ids of a text as little-endian 32-bit integers. The tokenizer drops white space and joins nothing across it, so the
-    parts between " " and "\\n" are encoded apart and their ids kept in a bounded cache."""
-    parts = text.replace("\n", " ").split(" ")
-    try:
-        return b"".join(map(cache.__getitem__, parts))
-    except KeyError:
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        new = [p for p in set(parts) if p not in cache]
-        for p, e in zip(new, tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            cache[p] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(cache.__getitem__, parts))
+#: Printable ASCII and the letters of Latin-1: of these the normaliser only lower-cases, one character to one.
+PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]*")
+#: The tokenizer's pre-token pattern over such characters, once in lower case.
+PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+#: Byte-level characters: printable bytes stand for themselves, the others follow from 256 on, in order.
+_own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_CHARS = {b: chr(b) for b in _own} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in set(_own))}
+AS_BYTES = {c: "".join(BYTE_CHARS[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+
+FOUR = struct.Struct("<I").pack
+
+
+class Cache(dict):
+    """Part of a text -> its ids as little-endian 32-bit integers. Plain parts are cut into pre-tokens here and only the merges
+    are left to the library, behind a cache of their own; other parts go through the whole tokenizer."""
+
+    def __init__(self, tok):
+        super().__init__()
+        self.tok, self.model, self.pieces = tok, tok.model, {}
+
+    def __missing__(self, part: str) -> bytes:
+        if part.isascii() and part.isalpha():
+            ids = self.piece(part.lower())
+        elif PLAIN.fullmatch(part) and "<|" not in part:
+            ids = b"".join(map(self.piece, PIECES.findall(part.lower())))
+        else:
+            ids = b"".join(map(FOUR, self.tok.encode(part, add_special_tokens=False).ids))
+        self[part] = ids
+        return ids
+
+    def piece(self, p: str) -> bytes:
+        ids = self.pieces.get(p)
+        if ids is None:
+            ids = self.pieces[p] = b"".join([FOUR(t.id) for t in self.model.tokenize(p if p.isascii() else p.translate(AS_BYTES))])
+        return ids
+
+    def trim(self) -> None:
+        """Over its bound, a cache keeps the quarter that it met first: the frequent parts are among them."""
+        for held in (self, self.pieces):
+            if len(held) > CACHE_WORDS:
+                first = list(islice(held.items(), CACHE_WORDS // 4))
+                held.clear()
+                held.update(first)
+
+
+def ids_of(text: str, cache: Cache) -> bytes:
+    """The ids of a text. The tokenizer drops white space and joins nothing across it, so the parts between " " and "\\n" are encoded apart."""
+    out = b"".join(map(cache.__getitem__, text.replace("\n", " ").split(" ")))
+    cache.trim()
+    return out
 
 
 def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, narrow: bool) -> DataFrame:
@@ -65,9 +104,9 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, narrow: bool) ->
     end = np.array([end_id], "<u4").tobytes()
 
     def encode(rows: Iterator[tuple]) -> Iterator[tuple]:
-        tok, cache = tokenizer(tokenizer_path), _caches.setdefault(tokenizer_path, {})
+        cache = _caches.setdefault(tokenizer_path, Cache(tokenizer(tokenizer_path)))
         for i, text in rows:
-            ids = ids_of(text, tok, cache) + end
+            ids = ids_of(text, cache) + end
             yield i, np.frombuffer(ids, "<u4").astype("<u2").tobytes() if narrow else ids
 
     return map_docs(docs, encode, "doc_id bigint, ids binary", binary=False)
@@ -203,7 +242,7 @@ def write_token_file(docs: DataFrame, path: str, tokenizer_path: str, end_id: in
     lengths = code_lengths(id_counts(ids, vocab, narrow))
     spark.createDataFrame([(end_id, LIMIT, 2 if narrow else 4, lengths.tobytes())], HEADER).coalesce(1).write.parquet(f"{path}/header")
     code = spark.sparkContext.broadcast((lengths, canonical(lengths)))
-    n = parts_for(ids, 32)
+    n = parts_for(ids, 12)
     tie = F.xxhash64("ids")
     ordered = ids.withColumn("tie", tie).repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "ids")
     from pyspark.sql.pandas.types import to_arrow_schema
