@@ -15,7 +15,7 @@ Null doc_id and repeated rows: kept, a row each. Empty tables: no rows, or no hi
 
 from __future__ import annotations
 
-import hashlib
+import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmere.llm.batches import documents, id_text, map_docs
+from quillmere.llm.rewrite import rewrite_texts
 
 WIDTH = 8
 SLICE_WORDS = 2_000_000
@@ -120,13 +121,19 @@ def merged(spans: list[tuple[int, int]]) -> list[list[int]]:
 HITS = "doc_id bigint, n_words bigint, runs array<array<int>>, items array<string>, containment double"
 
 
+def slices_of(benchmark: DataFrame, slice_words: int) -> list[list[tuple[str, bytes]]]:
+    """The items in slices of about slice_words words."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").cast("binary").alias("text")).dropna()
+    size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    n = max(1, -(-int(size) // (slice_words * 6)))
+    return [[(r.item_id, bytes(r.text)) for r in (items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == s)).collect()] for s in range(n)]
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, slice_words: int = SLICE_WORDS) -> DataFrame:
     """doc_id, n_words, runs ([start, end) in words, merged), items met, and the largest containment of any."""
     sc = docs.sparkSession.sparkContext
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").cast("binary").alias("text")).dropna()
-    size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    slices = max(1, -(-int(size) // (slice_words * 6)))
-    parts = [[(r.item_id, bytes(r.text)) for r in (items if slices == 1 else items.filter(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == s)).collect()] for s in range(slices)]
+    parts = slices_of(benchmark, slice_words)
+    slices = len(parts)
     rows = id_text(docs)
     if slices > 1:
         rows = rows.withColumn("row", F.monotonically_increasing_id())
@@ -167,6 +174,51 @@ def _hits(rows: DataFrame, held) -> DataFrame:
     return map_docs(rows, run, HITS)
 
 
+SPAN = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+
+
+def without(text: bytes, runs: list[list[int]]) -> bytes:
+    """The text without the words of runs ([start, end) in words) and what stands between them."""
+    words = [m.span() for m in SPAN.finditer(text)]
+    out, at = [], 0
+    for a, b in runs:
+        out.append(text[at : words[a][0]])
+        at = words[b - 1][1]
+    return b"".join([*out, text[at:]])
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: float = 0.8, slice_words: int = SLICE_WORDS) -> DataFrame:
+    """docs without the documents that meet two items or hold `share` or more of one; other hits are cut out of their texts.
+    With a benchmark of several slices each row meets all of them in the one task."""
+    sc = docs.sparkSession.sparkContext
+    held = []
+    for part in slices_of(benchmark, slice_words):
+        held.append(sc.broadcast((part, word_counts(docs, {w for _, t in part for w in words_of(t)}), width)))
+
+    def decide():
+        joins = [Join(*h.value) for h in held]
+
+        def judge(text):
+            if not text:
+                return True, text
+            raw = text.encode()
+            words = words_of(raw)
+            spans, shares = [], {}
+            for join in joins:
+                more, own = join.hits(words)
+                spans += more
+                shares |= own
+            if not spans:
+                return True, text
+            if len(shares) >= 2 or max(shares.values()) >= share:
+                return False, text
+            return True, without(raw, merged(spans)).decode()
+
+        return judge
+
+    return rewrite_texts(docs, decide)
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = hits(id_text(documents(spark, sf_dir)), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select(

@@ -21,11 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmere.llm.batches import documents, id_text, map_docs
+from quillmere.llm.batches import documents, id_text, pairs
 from quillmere.sources.scratch import materialise
+from quillmere.sources.ship import ship
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 BUCKET = 2048
@@ -50,11 +51,17 @@ def fingerprint(text: bytes, k: int = SHINGLE) -> int:
     return int(np.packbits(2 * sums > n, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
-        yield from ((i, fingerprint(t, k)) for i, t in rows)
+def fingerprints(docs: DataFrame, k: int = SHINGLE, extra: Column | None = None) -> DataFrame:
+    """doc_id, fp, extra (a long of the caller's; else null)."""
+    ship(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (F.lit(None) if extra is None else extra).cast("long").alias("extra"))
 
-    return map_docs(docs, run, "doc_id bigint, fp bigint")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = [fingerprint(t, k) for _, t in pairs(b)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), b.column(2)], names=["doc_id", "fp", "extra"])
+
+    return rows.mapInArrow(run, "doc_id bigint, fp bigint, extra bigint")
 
 
 def masks(radius: int) -> list[int]:
@@ -128,15 +135,15 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_groups(docs: DataFrame, radius: int = 2, k: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
-    """doc_id, fp, component_id of every document."""
-    marked = materialise(fingerprints(docs, k), "fingerprints")
+def near_groups(docs: DataFrame, radius: int = 2, k: int = SHINGLE, bucket: int = BUCKET, extra: Column | None = None) -> DataFrame:
+    """doc_id, fp, component_id, extra of every document."""
+    marked = materialise(fingerprints(docs, k, extra), "fingerprints")
     nodes = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
     roots = components(links(nodes.select("fp"), radius, bucket))
     named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     names = named.groupBy("root").agg(F.min("low").alias("component_id"))
     of = named.join(names, "root").select("fp", "component_id")
-    return marked.join(of, "fp").select("doc_id", "fp", "component_id")
+    return marked.join(of, "fp").select("doc_id", "fp", "component_id", "extra")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
