@@ -15,14 +15,17 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
+from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from quillmere.llm.batches import documents, id_text, map_docs, schema_of
+from quillmere.llm.batches import documents, id_text, map_docs, rows_out, schema_of
 
 CHUNK = 1 << 16
 OVERLAP = 1 << 10
@@ -43,31 +46,63 @@ class Encoder:
         self.raw = [b""] * (max(ranks.values()) + 1)
         for b, i in ranks.items():
             self.raw[i] = b
-        self.cache: dict[str, list[int]] = {}
+        self.words: dict[str, bytes] = {}
+        self.units = Units(self)
 
     def spans(self, text: str, at: int = 0) -> Iterator[int]:
         """Where the pre-tokens of text from `at` on end."""
         return (m.end() for m in self.pattern.finditer(text, at))
 
-    def pieces(self, words: list[str]) -> list[int]:
-        cache = self.cache
-        try:
-            return list(chain.from_iterable(map(cache.__getitem__, words)))
-        except KeyError:
-            if len(cache) > CACHE_WORDS:
-                cache.clear()
-            for w in set(words):
-                if w not in cache:
-                    cache[w] = self.bpe._encode_single_piece(w) if len(w) < 100 else self.bpe.encode_ordinary(w)
-            return list(chain.from_iterable(map(cache.__getitem__, words)))
-
-    def encode(self, text: str) -> list[int]:
-        return self.pieces(self.pattern.findall(text)) if text else []
-
-    def decode(self, ids: list[int]) -> bytes:
+    def word(self, w: str) -> bytes:
+        ids = self.words.get(w)
+        if ids is None:
+            ids = self.words[w] = array("I", self.bpe._encode_single_piece(w) if len(w) < 100 else self.bpe.encode_ordinary(w)).tobytes()
+        return ids
+
+    def pieces(self, words: list[str]) -> bytes:
+        out = b"".join(map(self.word, words))
+        self.trim()
+        return out
+
+    def encode(self, text: str) -> bytes:
+        """The ids of a text. No pre-token holds white space after another character, so one ends before each white space that
+        follows one; between single spaces and line ends the parts are looked up whole."""
+        if RUNS.search(text):
+            return self.pieces(self.pattern.findall(text))
+        parts = text.replace("\n", " \n").split(" ")
+        out = b"".join(map(self.word, self.pattern.findall(parts[0]))) + b"".join(map(self.units.__getitem__, parts[1:]))
+        self.trim()
+        return out
+
+    def trim(self) -> None:
+        """Over its bound, a cache keeps the quarter that it met first: the frequent words are among them."""
+        for held in (self.words, self.units):
+            if len(held) > CACHE_WORDS:
+                first = list(islice(held.items(), CACHE_WORDS // 4))
+                held.clear()
+                held.update(first)
+
+    def decode(self, ids: array) -> bytes:
         return b"".join(map(self.raw.__getitem__, ids))
 
 
+#: White space after which a space or line end follows: the run must be pre-tokenised as one.
+RUNS = re.compile(r"\s[ \n]")
+
+
+class Units(dict):
+    """A part of a text that a space stood before (or that begins with a line end) -> its ids."""
+
+    def __init__(self, enc: Encoder):
+        super().__init__()
+        self.enc = enc
+
+    def __missing__(self, part: str) -> bytes:
+        enc = self.enc
+        ids = self[part] = b"".join(map(enc.word, enc.pattern.findall(part if part[:1] == "\n" else " " + part)))
+        return ids
+
+
 def encoder(ranks_path: str, pattern: str) -> Encoder:
     key = f"{ranks_path}\n{pattern}"
     if key not in _encoders:
@@ -102,7 +137,8 @@ def chunk_bounds(n: int, chunk: int, overlap: int) -> list[tuple[int, int]]:
     return [(a, min(n, a + chunk + overlap)) for a in range(0, max(n - overlap, 1), chunk)]
 
 
-ROWS = "doc_id bigint, ids array<int>"
+#: ids: little-endian unsigned 32-bit integers.
+ROWS = "doc_id bigint, ids binary"
 
 
 def long_documents(long: DataFrame, ranks_path: str, pattern: str, chunk: int, overlap: int) -> DataFrame:
@@ -144,13 +180,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = CHUNK, o
     return map_docs(rows.filter(~is_long), short, ROWS, binary=False).unionByName(long_documents(rows.filter(is_long), ranks_path, pattern, chunk, overlap))
 
 
-def decode_digest(ids: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """Decode ids; per document its count and the hashes of ids and of decoded bytes."""
-    out = schema_of("doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    from quillmere.llm.batches import rows_out
-
+def decode_digest(ids: DataFrame, ranks_path: str, pattern: str, keep_ids: bool = False) -> DataFrame:
+    """Decode ids; per document its count and the hashes of ids and of decoded bytes (and the ids)."""
+    out = schema_of("doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids)
     arrow = to_arrow_schema(out)
 
     def run(batches):
@@ -159,8 +191,10 @@ def decode_digest(ids: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         def rows():
             for b in batches:
                 for i, v in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                    ids = v.values.to_pylist() if v.is_valid else []
-                    yield i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(enc.decode(ids)).hexdigest()
+                    raw = v.as_py() or b""
+                    ids = array("I", raw)
+                    told = i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(enc.decode(ids)).hexdigest()
+                    yield (*told, raw) if keep_ids else told
 
         yield from rows_out(rows(), arrow)
 
