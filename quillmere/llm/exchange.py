@@ -9,6 +9,8 @@ The documents are shuffled once: every step reads the same exchange.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 
 import numpy as np
@@ -53,10 +55,10 @@ def rolled(values: np.ndarray, width: int, base: int) -> np.ndarray:
     return out
 
 
-def chunked(docs: DataFrame) -> tuple[DataFrame, int]:
-    """Rows with their chunk, all of a chunk in one partition; and the number of chunks."""
+def chunked(docs: DataFrame, mb: float = CHUNK_MB) -> tuple[DataFrame, int]:
+    """Rows with their chunk (of about mb MB of input files), all of a chunk in one partition; and the number of chunks."""
     rows = id_text(docs)
-    n = parts_for(docs, CHUNK_MB, 33)
+    n = parts_for(docs, mb, 33)
     chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")
     return rows.withColumn("chunk", chunk).repartition(n, "chunk"), n
 
@@ -67,6 +69,19 @@ def hash_bits(docs: DataFrame) -> int:
     return min(62, max(40, math.ceil(math.log2(max(size, 2))) + 8)) if size < 1 << 55 else 62
 
 
+def give_back(step):
+    """A group's step, after which the worker's freed memory goes back to the system: workers live on between groups and stages."""
+
+    def run(*tables: pa.Table) -> pa.Table:
+        out = step(*tables)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries have no malloc_trim
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        return out
+
+    return run
+
+
 def texts(table: pa.Table) -> tuple[list, list[bytes]]:
     """doc_ids and UTF-8 texts of a chunk, in an order that its rows alone fix."""
     ids = table.column("doc_id").to_pylist()

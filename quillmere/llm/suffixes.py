@@ -29,6 +29,8 @@ WINDOW = 50
 GRAM = 20
 SHALLOW = 24
 SECTION = 1 << 19
+#: A chunk's segments and contents take several times its size in a worker.
+CHUNK_MB = 3
 PLACE_BITS = 20
 #: An anchor counts as common from so many documents on (by lower bounds of the chunks' counts).
 COMMON = 1024
@@ -393,13 +395,15 @@ class Plan:
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shallow: int = SHALLOW, common: int = COMMON) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that stay) of every document."""
-    dealt, n = x.chunked(docs)
+    dealt, n = x.chunked(docs, CHUNK_MB)
     plan = Plan(window, gram, shallow, x.hash_bits(docs), 2 * n, common)
-    asked = dealt.groupBy("chunk").applyInArrow(lambda t: plan.ask(t), schema_of(ASK))
-    found = asked.groupBy("bucket").applyInArrow(lambda t: plan.shared(t), schema_of(ANSWER))
-    around = dealt.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(lambda a, b: plan.segments_ask(a, b), schema_of(ASK))
-    told = around.groupBy("bucket").applyInArrow(lambda t: plan.decide(t), schema_of(ANSWER))
-    return dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(lambda a, b: plan.cut(a, b), schema_of(OUT))
+    one = lambda step: lambda t: x.give_back(step)(t)
+    two = lambda step: lambda a, b: x.give_back(step)(a, b)
+    asked = dealt.groupBy("chunk").applyInArrow(one(plan.ask), schema_of(ASK))
+    found = asked.groupBy("bucket").applyInArrow(one(plan.shared), schema_of(ANSWER))
+    around = dealt.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(two(plan.segments_ask), schema_of(ASK))
+    told = around.groupBy("bucket").applyInArrow(one(plan.decide), schema_of(ANSWER))
+    return dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(two(plan.cut), schema_of(OUT))
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
