@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from quillmere.llm.batches import documents
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # for the SQL form; here texts are cut at what is between
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 #: Base phrases and labels.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -70,6 +70,11 @@ def folded(text: str) -> Column:
     return F.translate(F.coalesce(F.col(text).cast("string"), F.lit("")), UPPER, LOWER)
 
 
+def words_of(low: Column | str) -> Column:
+    """Cutting between the words costs half of matching them."""
+    return F.array_remove(F.split(low, f"{BETWEEN}+"), "")
+
+
 def pieces(line: Column) -> Column:
     """The blocks of a line's words."""
     half = PIECE // 2
@@ -90,14 +95,14 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every document."""
     spark = docs.sparkSession
     low = docs.select(F.col("doc_id").cast("long").alias("doc_id"), folded("text").alias("low"))
-    words = low.withColumn("words", F.regexp_extract_all("low", F.lit(WORD), F.lit(0)))
+    words = low.withColumn("words", words_of("low"))
     vocabulary = sorted({w for _, s in templates for w in s.split()})
     index = prefix_index(spark, templates, token_counts(words, vocabulary), threshold)
     prefixes = F.lit(sorted({r.token for r in index.select("token").distinct().collect()}))  # of a fixed list
     based = words.withColumns({f"at{k}": places(p) for k, (p, _) in enumerate(PHRASES)})
     every = F.concat(*[f"at{k}" for k in range(len(PHRASES))])
     base_labels = F.array_compact(F.array(*[F.when(F.size(f"at{k}") > 0, F.lit(label)) for k, (_, label) in enumerate(PHRASES)]))
-    lines = F.transform(F.split("low", "\n"), lambda s: F.regexp_extract_all(s, F.lit(WORD), F.lit(0)))
+    lines = F.transform(F.split("low", "\n"), lambda s: words_of(s))
     blocks = F.filter(F.flatten(F.transform(lines, pieces)), lambda b: F.arrays_overlap(b, prefixes))
     rows = based.select(
         F.monotonically_increasing_id().alias("row"),
