@@ -28,7 +28,8 @@ from quillmere.sources.scratch import drop_path, materialise, parts_for, scratch
 LIMIT = 16
 EVERY = 256
 BLOCK_IDS = 1 << 18
-CACHE_WORDS = 400_000
+#: Parts, and pre-tokens, that a worker holds at most (about 250 MB together).
+CACHE_WORDS, CACHE_PIECES = 1_000_000, 400_000
 _tokenizers: dict[str, object] = {}
 _caches: dict[str, Cache] = {}
 
@@ -85,9 +86,9 @@ class Cache(dict):
 
     def trim(self) -> None:
         """Over its bound, a cache keeps the quarter that it met first: the frequent parts are among them."""
-        for held in (self, self.pieces):
-            if len(held) > CACHE_WORDS:
-                first = list(islice(held.items(), CACHE_WORDS // 4))
+        for held, most in ((self, CACHE_WORDS), (self.pieces, CACHE_PIECES)):
+            if len(held) > most:
+                first = list(islice(held.items(), most // 4))
                 held.clear()
                 held.update(first)
 
