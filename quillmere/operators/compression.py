@@ -58,9 +58,9 @@ def varint_size(v: Column) -> Column:
 
 def varint_bytes(values: np.ndarray) -> bytes:
     """Base-128 bytes, low seven bits first, high bit set but on the last of a number."""
-    v = np.asarray(values, np.uint64)
     if (np.asarray(values) < 0).any():
         raise ValueError("a varint is not negative")
+    v = np.asarray(values).astype(np.uint64)
     n = np.maximum(1, np.ceil(np.log2(v.astype(np.float64) + 1) / 7).astype(int)) if len(v) else np.zeros(0, int)
     n += (v >> np.minimum(7 * n, 63).astype(np.uint64) > 0) & (7 * n < 64)
     at = np.repeat(np.cumsum(n) - n, n)
