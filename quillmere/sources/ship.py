@@ -8,12 +8,15 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Workers may run in another folder or on another machine; they import the package from a zip that Spark sends them."""
+    """Also makes Arrow batches smaller, where their size is Spark's default. Workers may run in another folder or on another machine; they import the package from a zip that Spark sends them."""
     sc = spark.sparkContext
+    if spark.conf.get(BATCH, "10000") == "10000":  # Spark's default; a batch of texts takes its size several times in a worker
+        spark.conf.set(BATCH, "1000")
     if sc.applicationId in _shipped:
         return
     top = Path(__file__).resolve().parents[1]
