@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -19,6 +21,13 @@ def documents(spark, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def release() -> None:
+    """Give freed memory back to the system: workers live on between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no malloc_trim
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def id_text(docs: DataFrame) -> DataFrame:
     """doc_id and text alone, so that clashing extra columns never matter and the scan reads no others."""
     ship(docs.sparkSession)
@@ -66,5 +75,6 @@ def map_docs(docs: DataFrame, rows: Callable[[Iterator[tuple]], Iterable[tuple]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from rows_out(rows(p for b in batches for p in pairs(b, binary)), out)
+        release()
 
     return id_text(docs).mapInArrow(run, schema)

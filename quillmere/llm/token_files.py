@@ -19,17 +19,19 @@ from collections.abc import Iterator
 from itertools import islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmere.llm.batches import documents, id_text, map_docs, rows_out, schema_of
+from quillmere.llm.batches import documents, id_text, release, rows_out, schema_of
 from quillmere.sources.scratch import drop_path, materialise, parts_for, scratch_path
 
 LIMIT = 16
 EVERY = 256
 BLOCK_IDS = 1 << 18
-#: Parts, and pre-tokens, that a worker holds at most (about 250 MB together).
-CACHE_WORDS, CACHE_PIECES = 1_000_000, 400_000
+#: Parts, and pre-tokens, that a worker holds at most (about 200 MB together).
+CACHE_WORDS, CACHE_PIECES = 700_000, 400_000
 _tokenizers: dict[str, object] = {}
 _caches: dict[str, Cache] = {}
 
@@ -48,69 +50,83 @@ def tokenizer(path: str):
     return _tokenizers[path]
 
 
-#: Printable ASCII and the letters of Latin-1: of these the normaliser only lower-cases, one character to one.
-PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]*")
+#: Printable ASCII and the letters of Latin-1 (and line ends between parts): of these the normaliser only lower-cases, one character to one.
+PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ\n]*")
 #: The tokenizer's pre-token pattern over such characters, once in lower case.
-PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+PIECES = re.compile("\n|'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ\n]+")
 #: Byte-level characters: printable bytes stand for themselves, the others follow from 256 on, in order.
 _own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTE_CHARS = {b: chr(b) for b in _own} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in set(_own))}
 AS_BYTES = {c: "".join(BYTE_CHARS[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
 
-FOUR = struct.Struct("<I").pack
 
 
-class Cache(dict):
-    """Part of a text -> its ids as little-endian 32-bit integers. Plain parts are cut into pre-tokens here and only the merges
-    are left to the library, behind a cache of their own; other parts go through the whole tokenizer."""
-
-    def __init__(self, tok):
-        super().__init__()
-        self.tok, self.model, self.pieces = tok, tok.model, {}
-
-    def __missing__(self, part: str) -> bytes:
-        if part.isascii() and part.isalpha():
-            ids = self.piece(part.lower())
-        elif PLAIN.fullmatch(part) and "<|" not in part:
-            ids = b"".join(map(self.piece, PIECES.findall(part.lower())))
-        else:
-            ids = b"".join(map(FOUR, self.tok.encode(part, add_special_tokens=False).ids))
-        self[part] = ids
-        return ids
-
-    def piece(self, p: str) -> bytes:
-        ids = self.pieces.get(p)
-        if ids is None:
-            ids = self.pieces[p] = b"".join([FOUR(t.id) for t in self.model.tokenize(p if p.isascii() else p.translate(AS_BYTES))])
-        return ids
+class Cache:
+    """Part of a text -> its ids as little-endian integers of 16 or 32 bits. New plain parts are cut into pre-tokens here, a
+    document's at a time, and only the merges are left to the library, behind a cache of their own; other parts go through the whole tokenizer."""
+
+    def __init__(self, tok, narrow: bool):
+        self.words: dict[str, bytes] = {}
+        self.tok, self.model, self.number = tok, tok.model, struct.Struct("<H" if narrow else "<I").pack
+        self.end = b"\xff\xff" if narrow else b"\xff\xff\xff\xff"  # no id has a high byte of 255, so it cannot be met across two ids
+        self.pieces = {"\n": self.end}
+
+    def learn(self, new: set[str]) -> None:
+        lines = "\n".join(new)
+        if not PLAIN.fullmatch(lines) or "<|" in lines:
+            for p in [p for p in new if not PLAIN.fullmatch(p) or "\n" in p or "<|" in p]:
+                self.words[p] = b"".join(map(self.number, self.tok.encode(p, add_special_tokens=False).ids))
+                new.discard(p)
+            if not new:
+                return
+            lines = "\n".join(new)
+        found = PIECES.findall(lines.lower())
+        number, model = self.number, self.model
+        for p in set(found).difference(self.pieces):
+            self.pieces[p] = b"".join([number(t.id) for t in model.tokenize(p if p.isascii() else p.translate(AS_BYTES))])
+        self.words.update(zip(new, b"".join(map(self.pieces.__getitem__, found)).split(self.end), strict=True))
 
     def trim(self) -> None:
         """Over its bound, a cache keeps the quarter that it met first: the frequent parts are among them."""
-        for held, most in ((self, CACHE_WORDS), (self.pieces, CACHE_PIECES)):
+        for held, most in ((self.words, CACHE_WORDS), (self.pieces, CACHE_PIECES)):
             if len(held) > most:
                 first = list(islice(held.items(), most // 4))
                 held.clear()
                 held.update(first)
 
 
-def ids_of(text: str, cache: Cache) -> bytes:
-    """The ids of a text. The tokenizer drops white space and joins nothing across it, so the parts between " " and "\\n" are encoded apart."""
-    out = b"".join(map(cache.__getitem__, text.replace("\n", " ").split(" ")))
+def ids_of(texts: pa.Array, cache: Cache) -> list[bytes]:
+    """The ids of each text. The tokenizer drops white space and joins nothing across it, so the parts between " " and "\\n" are encoded apart: Arrow
+    cuts the texts and numbers their distinct parts, and the ids of those are dealt back to all places."""
+    lists = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+    parts = lists.flatten().dictionary_encode()
+    distinct = parts.dictionary.to_numpy(zero_copy_only=False).tolist()  # several times faster than to_pylist()
     cache.trim()
-    return out
+    if new := {p for p in distinct if p not in cache.words}:
+        cache.learn(new)
+    placed = pa.array(map(cache.words.__getitem__, distinct), pa.binary()).take(parts.indices)
+    _, offsets, data = placed.buffers()
+    at = np.frombuffer(offsets, np.int32)[placed.offset :][np.asarray(lists.offsets) - lists.offsets[0].as_py()].tolist()
+    whole = memoryview(data) if data is not None else memoryview(b"")
+    return [bytes(whole[p:q]) for p, q in zip(at[:-1], at[1:], strict=True)]
 
 
 def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, narrow: bool) -> DataFrame:
     """doc_id, ids (little-endian; 16 bits each if narrow, else 32), with the end id."""
-    end = np.array([end_id], "<u4").tobytes()
+    end = struct.pack("<H" if narrow else "<I", end_id)
+    key = f"{tokenizer_path} {narrow}"
 
-    def encode(rows: Iterator[tuple]) -> Iterator[tuple]:
-        cache = _caches.setdefault(tokenizer_path, Cache(tokenizer(tokenizer_path)))
-        for i, text in rows:
-            ids = ids_of(text, cache) + end
-            yield i, np.frombuffer(ids, "<u4").astype("<u2").tobytes() if narrow else ids
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = _caches.get(key)
+        if cache is None:
+            cache = _caches[key] = Cache(tokenizer(tokenizer_path), narrow)
+        for b in batches:
+            for k in range(0, b.num_rows, 1000):
+                own = b.slice(k, 1000)
+                yield pa.RecordBatch.from_arrays([own.column(0), pa.array([i + end for i in ids_of(own.column(1), cache)], pa.binary())], names=["doc_id", "ids"])
+        release()
 
-    return map_docs(docs, encode, "doc_id bigint, ids binary", binary=False)
+    return id_text(docs).mapInArrow(encode, "doc_id bigint, ids binary")
 
 
 # --- the code -----------------------------------------------------------------------------------------------------
@@ -221,10 +237,11 @@ def id_counts(ids: DataFrame, vocab: int, narrow: bool) -> np.ndarray:
     def count(batches):
         total = np.zeros(vocab, np.int64)
         for b in batches:
-            for v in b.column(0):
-                total += np.bincount(np.frombuffer(v.as_buffer(), kind), minlength=vocab)[:vocab] if len(v.as_buffer()) > vocab * 2 else 0
-                if len(v.as_buffer()) <= vocab * 2:
-                    np.add.at(total, np.frombuffer(v.as_buffer(), kind), 1)
+            column = b.column(0)
+            _, offsets, data = column.buffers()
+            at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+            if len(at) > 1:
+                total += np.bincount(np.frombuffer(data, np.uint8)[at[0] : at[-1]].view(kind), minlength=vocab)
         yield from rows_out(((int(i), int(total[i])) for i in np.flatnonzero(total)), arrow)
 
     counts = np.zeros(vocab, np.int64)
@@ -237,7 +254,7 @@ def write_token_file(docs: DataFrame, path: str, tokenizer_path: str, end_id: in
     """Encode every document and write the token file to path, in ascending doc_id order."""
     spark = docs.sparkSession
     vocab = max(tokenizer(tokenizer_path).get_vocab_size(with_added_tokens=True), end_id + 1)
-    narrow = vocab <= 1 << 16
+    narrow = vocab <= 0xFF00
     kind = "<u2" if narrow else "<u4"
     ids = materialise(encoded(docs, tokenizer_path, end_id, narrow), "token-ids")
     lengths = code_lengths(id_counts(ids, vocab, narrow))
