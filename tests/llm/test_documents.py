@@ -1,0 +1,294 @@
+"""Quality rules, licenses, decontamination, SimHash, personal data and the pipeline."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from quillmere.llm import decontaminate, licenses, pii, quality, simhash, stages
+
+EDGES = [(1, None), (2, ""), (None, "no id here"), (3, "twice twice"), (3, "twice twice"), (4, " \n\t"), (5, "a\x1cb c\x85d\n\na\x1cb c\x85d"), (6, "x " * 5000)]
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, "e", "s", 0 if t is None else len(t), 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, fp int")
+
+
+# --- quality ---
+
+
+def test_base_figures(spark):
+    def brute(text):
+        w = re.findall("[^\x20\x09-\x0d]+", text)
+        win = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
+        n = Counter(win)
+        lines, dups = set(), 0
+        for line in text.split("\n"):
+            if re.search("[^\x20\x09-\x0d]", line):
+                dups += line in lines
+                lines.add(line)
+        covered = {p for k, x in enumerate(win) if n[x] > 1 for p in (k, k + 1, k + 2)}
+        failed = len(w) < 50 or 100 * len(covered) > 50 * len(w)
+        return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), dups, len(covered), failed
+
+    r = random.Random(1)
+    rows = EDGES + [(100 + k, "".join(r.choice(["a ", "b ", "c\n", "#", "x|y ", "é ", "\n"]) for _ in range(r.randint(0, 200)))) for k in range(80)]
+    got = sorted((tuple(x)[:7] for x in quality.rules(frame(spark, rows), quality.FALLBACK).collect()), key=repr)
+    assert got == sorted(((i, *brute(t or "")) for i, t in rows), key=repr)
+    assert quality.rules(frame(spark, []), quality.FALLBACK).count() == 0
+
+
+def sentences(r, n):
+    return ".\n".join(" ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7))) for _ in range(r.randint(6, 14))).capitalize() for _ in range(n)) + "."
+
+
+def junk(r, n):
+    return "\n".join(" | ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(12)) for _ in range(n))
+
+
+def test_trained_field_tells_held_out_documents(spark):
+    r = random.Random(2)
+    rows = [(k, sentences(r, 8) if k % 3 else junk(r, 8)) for k in range(240)]
+    labels = spark.createDataFrame([(k, int(k % 3 > 0), 0) for k in range(120)], "doc_id long, quality int, toxic int")
+    model = quality.fit(frame(spark, rows), labels)
+    got = {x.doc_id: x.kept for x in quality.rules(frame(spark, rows), model).filter("doc_id >= 120").collect()}
+    assert sum(got[k] == (k % 3 > 0) for k in got) >= 0.98 * len(got)
+    assert quality.fit(frame(spark, rows), labels.filter("quality = 1")) is quality.FALLBACK
+
+
+def test_viterbi_is_the_best_path():
+    rng = np.random.default_rng(0)
+    for _ in range(20):
+        s, step = rng.normal(size=6), rng.normal(size=(2, 2))
+        paths = [[p >> k & 1 for k in range(6)] for p in range(64)]
+        value = lambda y: sum(x for x, v in zip(s, y, strict=True) if v == 0) + sum(step[a, b] for a, b in zip(y, y[1:], strict=False))  # noqa: E731, B023
+        assert value(quality.viterbi(s, step)) == pytest.approx(max(map(value, paths)))
+
+
+# --- licenses ---
+
+LICENSE_ROWS = [
+    *EDGES,
+    (20, "All rights\nreserved all RIGHTS reserved"),
+    (21, "cc by cc. BY"),
+    (22, "x " * 70 + "licensed under the apache license version 2 0"),
+    (23, "y " * 20 + "licensed under " + "z " * 11 + "the apache license version 2.0"),
+    (24, "permission is hereby granted, free of charge, to any person obtaining a copy of this software and docs"),
+    (25, "general public license general public license"),
+    (26, "w " * 40 + "under the terms of the GNU General Public License as published by the Free Software Foundation " + "w " * 90),
+]
+
+
+def test_licenses_equal_their_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", LICENSE_ROWS)
+    want = sorted(con.execute(licenses.sql()).fetchall(), key=repr)
+    got = sorted((tuple(r) for r in licenses.scan(frame(spark, LICENSE_ROWS)).collect()), key=repr)
+    assert got == want
+    by = {r[0]: r for r in got}
+    assert by[24][6] == "mit" and by[20][5] == "reserved" and "gpl" in by[26][6].split(",")
+    assert licenses.scan(frame(spark, [])).count() == 0
+
+
+def test_license_plan_has_no_python(spark):
+    plan = licenses.scan(frame(spark, LICENSE_ROWS))._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+# --- decontamination ---
+
+
+def test_decontamination(spark):
+    r = random.Random(4)
+    word = lambda: r.choice(["aa", "bb", "cc", "the", "é"])
+    items = [(k, " ".join(word() for _ in range(r.randint(1, 14)))) for k in range(12)] + [(50, None), (51, ""), (None, "lost item"), (52, "Aa, BB"), (52, "aa bb")]
+    rows = EDGES + [(100 + k, " ".join(word() for _ in range(40)) + " " + (items[k % 12][1] or "").upper()) for k in range(60)]
+    bench = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, doc_id int")
+    width = 4
+    windows: dict[tuple, set[str]] = {}
+    for i, t in items:
+        w = decontaminate.words_of((t or "").encode())
+        if w and i is not None:
+            for k in range(max(len(w) - width, 0) + 1):
+                windows.setdefault(tuple(w[k : k + width]), set()).add(str(i))
+    want = []
+    for i, t in rows:
+        w = re.findall(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
+        w = [x.encode() for x in w]
+        hit, met = set(), set()
+        for size in {len(x) for x in windows}:
+            for k in range(len(w) - size + 1):
+                if own := windows.get(tuple(w[k : k + size])):
+                    hit |= set(range(k, k + size))
+                    met |= own
+        want.append((i, len(w), len(hit), sorted(met)))
+    for slice_words in (1_000_000, 5):
+        got = [(x.doc_id, x.n_words, sum(b - a for a, b in x.runs), sorted(x["items"])) for x in decontaminate.hits(frame(spark, rows), bench, width, slice_words).collect()]
+        assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert decontaminate.hits(frame(spark, rows), bench.limit(0)).filter("size(runs) > 0").count() == 0
+    assert decontaminate.hits(frame(spark, []), bench).count() == 0
+
+
+def test_clean_drops_leaks_and_cuts_pieces(spark):
+    item = " ".join(f"w{k}" for k in range(30))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(1, f"before {item} after"), (2, "before " + " ".join(f"w{k}" for k in range(9)) + ", after."), (3, "nothing of it"), (4, None)]
+    got = {r.doc_id: (r.text, r.n_chars) for r in decontaminate.clean(frame(spark, rows), bench).collect()}
+    assert got == {2: ("before , after.", 15), 3: ("nothing of it", 13), 4: (None, 0)}
+
+
+# --- SimHash ---
+
+
+def plain_components(values, radius):
+    root = list(range(len(values)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in range(len(values)):
+        for b in range(a):
+            if (values[a] ^ values[b]).bit_count() <= radius:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return [find(k) for k in range(len(values))]
+
+
+def test_masks_cover_every_pair():
+    for radius in (1, 2, 3):
+        own = [m & (1 << 64) - 1 for m in simhash.masks(radius)]
+        r = random.Random(radius)
+        for _ in range(300):
+            d = 0
+            for _ in range(radius):
+                d |= 1 << r.randrange(64)
+            assert any(not d & m for m in own)
+
+
+@pytest.mark.parametrize("bucket", [2048, 3])
+def test_links_and_components(spark, bucket):
+    r = random.Random(5)
+    base = [r.getrandbits(64) for _ in range(12)]
+    values = sorted({b ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)) ^ ((1 << r.randrange(64)) if r.random() < 0.7 else 0) for b in base for _ in range(15)})
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    got = {x.node: x.root for x in simhash.components(simhash.links(spark.createDataFrame([(v,) for v in signed], "fp long"), 2, bucket)).collect()}
+    mine = [got.get(v, v) for v in signed]
+    want = plain_components(values, 2)
+    pairs = {(a, b) for a, b in zip(mine, want, strict=True)}
+    assert len(pairs) == len(set(mine)) == len(set(want))
+
+
+def test_near_groups(spark):
+    import xxhash
+
+    r = random.Random(6)
+    text = " ".join(r.choice(["aa", "bb", "cc", "Dd"]) for _ in range(300))
+    rows = [*EDGES, (20, text), (21, text.upper()), (22, text + " end"), (23, "other words entirely here"), (24, "two words"), (25, "TWO words")]
+    got = {}
+    for x in simhash.near_groups(frame(spark, rows)).collect():
+        got.setdefault(x.doc_id, []).append((x.fp & (1 << 64) - 1, x.component_id))
+
+    def brute(t):
+        w = re.findall("[^\x20\x09-\x0d]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
+        s = [" ".join(w[k : k + 3]) for k in range(len(w) - 2)] or ([" ".join(w)] if w else [])
+        h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in s]
+        return sum(1 << k for k in range(64) if 2 * sum(v >> k & 1 for v in h) > len(h))
+
+    values = [brute(t) for _, t in rows]
+    group = plain_components(values, 2)
+    low = {g: min((i for (i, _), h in zip(rows, group, strict=True) if h == g and i is not None), default=None) for g in group}
+    for (i, _), v, g in zip(rows, values, group, strict=True):
+        assert (v, low[g]) in got[i]
+    assert simhash.near_groups(frame(spark, [])).count() == 0
+
+
+# --- personal data ---
+
+
+@pytest.fixture(scope="module")
+def model():
+    return pii.Model()
+
+
+def test_base_spans_equal_the_patterns():
+    r = random.Random(7)
+    parts = ["a", ".", "@", "1", "255", "256", "-", " ", "+", "(", ")", "é", "b.c", "4111111111111111", "%", "0", "00007"]
+    for _ in range(4000):
+        t = "".join(r.choice(parts) for _ in range(r.randint(0, 30)))
+        only = lambda m: re.sub("[^0-9]", "", m[0])
+        want = {
+            "email": [m.span() for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)],
+            "ip": [m.span() for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))],
+            "card": [m.span() for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 16 <= len(only(m)) <= 19 and pii.luhn(only(m))],
+            "phone": [m.span() for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 8 <= len(only(m)) <= 15],
+        }
+        assert pii.base_spans(t) == want, t
+
+
+def test_boosted_candidates(model):
+    held = pii.examples(1500, seed=99)
+    right = wrong = 0
+    for text, kind, a, b, real in held:
+        p = model.probability(model.trees.score(pii.span_features(text, kind, a, b)))
+        if p >= model.thresholds[kind]:
+            right, wrong = right + real, wrong + (not real)
+    assert right / (right + wrong) > 0.93 and right / sum(x[-1] for x in held) > 0.8
+    assert [k for k, _, _ in pii.find("mail bob (at) example (dot) com now", model)[1]] == ["email"]
+    assert pii.find("plain prose of the day, page 12 of 300.", model)[1] == []
+
+
+def test_spans_and_redaction(spark, model):
+    rows = [*EDGES, (30, "é ann@ex.org and +1 (212) 555-1234, 4111 1111 1111 1111 at 10.0.0.1")]
+    got = {}
+    for x in pii.spans_of(frame(spark, rows), model).collect():
+        got.setdefault(x.doc_id, []).append(x)
+    own = got[30][0]
+    assert [s.kind for s in own.base] == ["email", "ip", "card", "phone"]
+    assert len(got[3]) == 2 and got[1][0].spans == []
+    assert pii.redacted(rows[-1][1], [(s.kind, s.a, s.b) for s in own.spans]) == "é [EMAIL] and [PHONE], [CARD] at [IP]"
+    assert pii.redacted("abcdef", [("x", 1, 4), ("y", 3, 5)]) == "a[X]f"
+    assert pii.spans_of(frame(spark, []), model).count() == 0
+
+
+# --- pipeline ---
+
+
+def test_stages(spark, tmp_path):
+    r = random.Random(9)
+    long = sentences(r, 12)
+    item = " ".join(f"bench{k}" for k in range(20))
+    rows = [(1, long), (2, long), (3, junk(r, 10)), (4, sentences(r, 10) + " " + item), (5, sentences(r, 10) + " mail ann@ex.org"), (None, None), (6, ""), (7, "short")]
+    spark.createDataFrame([(k, int(k % 2), 0) for k in range(1, 3)], "doc_id long, quality int, toxic int").limit(0).write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = frame(spark, rows)
+    ids = lambda df: sorted(x.doc_id for x in df.select("doc_id").collect())
+    kept = stages.keep_quality(spark, docs, str(tmp_path))
+    assert ids(kept) == [1, 2, 4, 5] and kept.columns == docs.columns
+    one = stages.drop_near_copies(spark, kept.unionByName(kept.filter("doc_id = 5")), str(tmp_path))
+    assert ids(one) == [1, 4, 5] and one.columns == docs.columns
+    clean = stages.decontaminated(spark, one, str(tmp_path))
+    assert ids(clean) == [1, 5]
+    safe = stages.redact(spark, clean, str(tmp_path))
+    text = {x.doc_id: (x.text, x.n_chars) for x in safe.collect()}
+    assert text[1][0] == long and "[EMAIL]" in text[5][0] and text[5][1] == len(text[5][0])
+    out = {x.doc_id: x for x in stages.encode(spark, safe, str(tmp_path)).collect()}
+    assert out[1].decoded_sha256 == hashlib.sha256(long.encode()).hexdigest() and out[1].n_tokens == len(out[1].ids) // 4
+    empty = docs.limit(0)
+    for _, stage in [("a", stages.keep_quality), ("b", stages.drop_near_copies), ("c", stages.decontaminated), ("d", stages.redact), ("e", stages.encode)]:
+        assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_registry():
+    from quillmere.llm import registry
+
+    assert [int(re.match(r"op(\d+)_", n)[1]) for n in registry.QUERIES] == list(range(1, 11))
+    assert set(registry.SQL) <= set(registry.QUERIES)
