@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from quillmere.llm import licenses
 from quillmere.llm.byte_bpe import op5_byte_bpe
 from quillmere.llm.decontaminate import op8_decontaminate
 from quillmere.llm.licenses import op7_license_scan
 from quillmere.llm.pii import op10_pii
 from quillmere.llm.quality import op6_quality_rules
 from quillmere.llm.simhash import op9_simhash
+from quillmere.llm.sql import SQL
 from quillmere.llm.substrings import op1_substring_dedup
 from quillmere.llm.suffixes import op4_suffix_dedup
 from quillmere.llm.token_counts import op2_token_counts
@@ -29,4 +29,4 @@ QUERIES = {
         op10_pii,
     )
 }
-SQL = {"op7_license_scan": licenses.sql()}
+__all__ = ["QUERIES", "SQL"]
