@@ -29,7 +29,8 @@ from quillmere.llm.batches import documents, id_text, map_docs, rows_out, schema
 
 CHUNK = 1 << 16
 OVERLAP = 1 << 10
-CACHE_WORDS = 300_000
+#: Pre-tokens, and parts of texts, that a worker holds at most (about 60 MB together).
+CACHE_WORDS = 150_000
 _encoders: dict[str, Encoder] = {}
 
 
