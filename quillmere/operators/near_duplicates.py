@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmere.functions.analyzers import plain
-from quillmere.sources.scratch import materialise
+from quillmere.sources.scratch import discard, materialise
 
 SHINGLE, SIMILAR = 5, 0.8
 
@@ -66,6 +66,7 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         jump = low.select(F.col("node").alias("root"), F.col("root").alias("next"))
         new = materialise(low.join(jump, "root", "left").select("node", F.least("root", F.coalesce("next", "root")).alias("root")), "labels")
         moved = new.join(label.withColumnRenamed("root", "old"), "node").filter("root <> old").limit(1).count()
+        discard(label)
         label = new
         if not moved:
             return label

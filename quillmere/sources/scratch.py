@@ -28,7 +28,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: the plan below is run once and lost tasks re-read files."""
     path = scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._scratch_path = path
+    return back
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what materialise() wrote for df; nothing may read it any more."""
+    if path := getattr(df, "_scratch_path", None):
+        drop_path(df.sparkSession, path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
