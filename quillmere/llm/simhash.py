@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmere.llm.batches import documents, id_text, pairs
-from quillmere.sources.scratch import materialise
+from quillmere.sources.scratch import discard, materialise
 from quillmere.sources.ship import ship
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -125,7 +125,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         joined = down.join(low, "a")
         small = joined.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
-        edges = materialise(small, "edges")
+        old, edges = edges, materialise(small, "edges")
+        discard(old)
         now = mark(edges)
         if now == last or not now[0]:
             break

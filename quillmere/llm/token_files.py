@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmere.llm.batches import documents, id_text, release, rows_out, schema_of
-from quillmere.sources.scratch import drop_path, materialise, parts_for, scratch_path
+from quillmere.sources.scratch import discard, materialise, parts_for, scratch_path
 
 LIMIT = 16
 EVERY = 256
@@ -296,7 +296,7 @@ def write_token_file(docs: DataFrame, path: str, tokenizer_path: str, end_id: in
             yield flush()
 
     ordered.select("doc_id", "ids").mapInArrow(lambda batches: rows_out(blocks(batches), arrow), out).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
-    drop_path(spark, ids.inputFiles()[0].rpartition("/")[0]) if ids.inputFiles() else None
+    discard(ids)
 
 
 def read_token_file(spark: SparkSession, path: str) -> DataFrame:
