@@ -9,8 +9,6 @@ The documents are shuffled once: every step reads the same exchange.
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 import math
 
 import numpy as np
@@ -18,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmere.llm.batches import id_text
+from quillmere.llm.batches import id_text, release
 from quillmere.sources.scratch import input_bytes, parts_for
 
 CHUNK_MB = 6
@@ -70,13 +68,11 @@ def hash_bits(docs: DataFrame) -> int:
 
 
 def give_back(step):
-    """A group's step, after which the worker's freed memory goes back to the system: workers live on between groups and stages."""
+    """A group's step, after which the worker's freed memory goes back to the system."""
 
     def run(*tables: pa.Table) -> pa.Table:
         out = step(*tables)
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # other C libraries have no malloc_trim
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        release()
         return out
 
     return run

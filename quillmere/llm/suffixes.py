@@ -6,7 +6,7 @@ window - gram + 1 starts. Chunks first exchange the anchors' hashes (see exchang
 each distinct content once per chunk with the smallest doc_id that has it there. In its bucket the suffixes of the distinct segments
 are sorted: multikey quicksort on 8-byte characters to a shallow depth, then a blind trie for every group that is still
 together orders its suffixes to the full window and tells equal ones. The smallest doc_id of equal suffixes decides for each chunk which
-of a segment's starts also start in a smaller document. An anchor that very many documents share (a common line) has its starts sent
+of a segment's starts also start in a smaller document. An anchor that stands very often (a common line or pair of words) has its starts sent
 one by one, dealt by their content instead of by the anchor, so that no bucket grows with it.
 
 Defined results: null or empty text: 0 bytes, nothing removed. Shorter than a window: nothing removed. Null doc_id: smaller than any.
@@ -32,8 +32,8 @@ SECTION = 1 << 19
 #: A chunk's segments and contents take several times its size in a worker.
 CHUNK_MB = 3
 PLACE_BITS = 20
-#: An anchor counts as common from so many documents on (by lower bounds of the chunks' counts).
-COMMON = 1024
+#: An anchor counts as common from so many occurrences on (by lower bounds of the chunks' counts).
+COMMON = 512
 NO_ID = -(1 << 63)
 BASE = 0x9E3779B97F4A7C15
 _rng = np.random.default_rng(20_24)
@@ -78,7 +78,8 @@ class Segments:
             counts.append((ends - edge)[keep])
             hashes.append(h[place[edge[keep]]])
         join = lambda v, t: np.concatenate(v).astype(t) if v else np.zeros(0, t)
-        self.first, self.count, self.hash = join(firsts, np.int64), join(counts, np.int64), join(hashes, np.uint64)
+        # smallest hashes crowd at the low end: mixed once more, they spread evenly over the buckets
+        self.first, self.count, self.hash = join(firsts, np.int64), join(counts, np.int64), x.mix(join(hashes, np.uint64) ^ np.uint64(BASE))
         self.doc = np.searchsorted(s.starts, self.first, "right") - 1
 
     @staticmethod
@@ -219,7 +220,8 @@ class Plan:
         return hashes >> np.uint64(64 - self.bits)
 
     def ask(self, table: pa.Table) -> pa.Table:
-        """Step 1: the distinct anchors of a chunk; flags 0 to 3: in 1, 2, 32, 256 documents here at least."""
+        """Step 1: the distinct anchors of a chunk; flags 0 and 1: in one document here, in more; 2 and 3: 32 and 256 times here or more (in
+        however many documents: step 4 looks at them, and none is lost)."""
         chunk = table.column("chunk")[0].as_py()
         seg = Segments(Sections(x.texts(table)[1]), self.window, self.gram)
         h = self.short(seg.hash)
@@ -230,7 +232,8 @@ class Plan:
         first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
         fresh = np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))
         n = np.add.reduceat(fresh.astype(np.int64), first)
-        v, flags = h[first], np.searchsorted([2, 32, 256], n, "right").astype(np.uint8)
+        times = np.diff(np.append(first, len(h)))
+        v, flags = h[first], np.where(times < 32, n > 1, np.searchsorted([256], times, "right") + 2).astype(np.uint8)
         names, cuts = x.bucket_cuts(v, self.bits, self.buckets)
         return rows(chunk, names, [x.packed(v[a:b], flags[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], 0)
 
