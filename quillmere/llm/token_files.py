@@ -102,15 +102,31 @@ def ids_of(texts: pa.Array, cache: Cache) -> list[bytes]:
     parts = lists.flatten().dictionary_encode()
     distinct = parts.dictionary.to_numpy(zero_copy_only=False).tolist()  # several times faster than to_pylist()
     cache.trim()
-    if new := {p for p in distinct if p not in cache.words}:
-        cache.learn(new)
-    placed = pa.array(map(cache.words.__getitem__, distinct), pa.binary()).take(parts.indices)
+    known = list(map(cache.words.get, distinct))
+    if new := [k for k, ids in enumerate(known) if ids is None]:
+        cache.learn({distinct[k] for k in new})
+        for k in new:
+            known[k] = cache.words[distinct[k]]
+    placed = pa.array(known, pa.binary()).take(parts.indices)
     _, offsets, data = placed.buffers()
     at = np.frombuffer(offsets, np.int32)[placed.offset :][np.asarray(lists.offsets) - lists.offsets[0].as_py()].tolist()
     whole = memoryview(data) if data is not None else memoryview(b"")
     return [bytes(whole[p:q]) for p, q in zip(at[:-1], at[1:], strict=True)]
 
 
+def gathered(batches: Iterator[pa.RecordBatch], most_bytes: int = 12_000_000) -> Iterator[pa.RecordBatch]:
+    """Batches joined up to about most_bytes: the more texts are numbered together, the fewer distinct parts they have."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= most_bytes:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, narrow: bool) -> DataFrame:
     """doc_id, ids (little-endian; 16 bits each if narrow, else 32), with the end id."""
     end = struct.pack("<H" if narrow else "<I", end_id)
@@ -120,10 +136,8 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int, narrow: bool) ->
         cache = _caches.get(key)
         if cache is None:
             cache = _caches[key] = Cache(tokenizer(tokenizer_path), narrow)
-        for b in batches:
-            for k in range(0, b.num_rows, 1000):
-                own = b.slice(k, 1000)
-                yield pa.RecordBatch.from_arrays([own.column(0), pa.array([i + end for i in ids_of(own.column(1), cache)], pa.binary())], names=["doc_id", "ids"])
+        for own in gathered(batches):
+            yield pa.RecordBatch.from_arrays([own.column(0), pa.array([i + end for i in ids_of(own.column(1), cache)], pa.binary())], names=["doc_id", "ids"])
         release()
 
     return id_text(docs).mapInArrow(encode, "doc_id bigint, ids binary")
