@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillmere.llm import decontaminate, licenses, pii, quality, simhash, stages
 
@@ -287,6 +288,43 @@ def test_stages(spark, tmp_path):
         assert stage(spark, empty, str(tmp_path)).count() == 0
 
 
+def test_near_copies_equal_brute_force(spark):
+    from quillmere.llm import near_copies
+
+    r = random.Random(4)
+    texts = []
+    for _ in range(40):
+        words = [f"w{r.randrange(5000)}" for _ in range(r.choice([60, 200, 400]))]
+        texts.append(" ".join(words))
+        for edits in (1, 2, 4, 8, 12):
+            copy = list(words)
+            for _ in range(edits):
+                copy[r.randrange(len(copy))] = f"x{r.randrange(5000)}"
+            texts.append(" ".join(copy))
+    texts += [texts[0], texts[1].upper(), "", None, "two words"]
+    whole = lambda t: {tuple(w[k : k + 5]) for w in [(t or "").lower().split()] for k in range(max(len(w) - 4, 1))} if (t or "").split() else set()
+    sets = [whole(t) for t in texts]
+    label = list(range(len(texts)))
+    pairs = 0
+    for a in range(len(texts)):
+        for b in range(a + 1, len(texts)):
+            both = len(sets[a] & sets[b])
+            if sets[a] == sets[b] or both / len(sets[a] | sets[b]) >= 0.8:
+                pairs += texts[a] != texts[b]
+                old, new = max(label[a], label[b]), min(label[a], label[b])
+                label = [new if x == old else x for x in label]
+    docs = frame(spark, list(enumerate(texts)))
+    got = {}
+    for x in near_copies.groups(docs, F.lit(0)).collect():
+        got.setdefault(x.group, set()).add(x.doc_id)
+    want = {}
+    for k, x in enumerate(label):
+        want.setdefault(x, set()).add(k)
+    assert pairs > 100 and sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+    kept = {x.doc_id for x in stages.drop_near_copies(spark, docs, "").select("doc_id").collect()}
+    assert kept == {min(v) for v in want.values()}
+
+
 def test_registry():
     from quillmere.llm import registry
 
