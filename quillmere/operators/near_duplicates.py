@@ -55,6 +55,15 @@ def similar_pairs(sets: DataFrame, similarity: float = SIMILAR, n_bands: int = 2
     return scored.filter(F.col("similarity") >= similarity)
 
 
+def linked_documents(docs: DataFrame, similarity: float = SIMILAR, size: int = SHINGLE) -> DataFrame:
+    """(a, b, similarity): the similar pairs of classes, and a row of similarity 1 for each further document of a class (a names the class).
+    Documents b, b' of similar or equal classes are similar; a row for every such pair would grow with the square of a group of copies."""
+    member, sets = classes(docs, size)
+    member, sets = materialise(member, "members"), materialise(sets, "sets")
+    copies = member.filter("doc_id <> class_id").select(F.col("class_id").alias("a"), F.col("doc_id").alias("b"), F.lit(1.0).alias("similarity"))
+    return similar_pairs(sets, similarity).unionByName(copies)
+
+
 def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     """(node, root) by hash-to-min with pointer jumping; a written table cuts the lineage of each round."""
     both = edges.select("a", "b").union(edges.select("b", "a"))

@@ -562,7 +562,7 @@ def jaccard_shingles(spark, d):
 
 @query()
 def lsh_pairs(spark, d):
-    return near_duplicates.similar_pairs(near_duplicates.classes(docs(spark, d))[1])
+    return near_duplicates.linked_documents(docs(spark, d))
 
 
 @query()

@@ -268,6 +268,19 @@ def test_near_duplicates(spark):
     assert got == {1: (1, 1), 2: (1, 1), 3: (3, 1), 4: (4, 4), 5: (5, 5), 6: (6, 6)}
 
 
+def test_linked_documents_equal_brute_force(spark):
+    base = [f"w{k}" for k in range(60)]
+    near = base[:59] + ["other"]
+    texts = {1: base, 500: base, 9000: near, 20000: near, 7: base[::-1], 800: base[::-1], 30000: ["short"]}
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()], "doc_id long, text string")
+    rows = near_duplicates.linked_documents(df).collect()
+    name = {k: k for k in texts} | {r.b: r.a for r in rows if r.similarity == 1}
+    met = {(r.a, r.b) for r in rows if r.similarity < 1}
+    sets = {k: {tuple(t[j : j + 5]) for j in range(max(len(t) - 4, 1))} for k, t in texts.items()}
+    want = {(a, b) for a in texts for b in texts if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8}
+    assert {(a, b) for a in texts for b in texts if a < b and (name[a] == name[b] or tuple(sorted((name[a], name[b]))) in met)} == want and (500, 20000) in want
+
+
 def test_chain_of_components(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(1, 30)] + [(100, 101)], "a long, b long")
     roots = {r.node: r.root for r in near_duplicates.components(edges).collect()}
