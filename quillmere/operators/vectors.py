@@ -7,6 +7,7 @@ import json
 import math
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -47,13 +48,26 @@ def exact_top_k(vectors: DataFrame, query: list[float], k: int, key: str = "vec_
 
 
 def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", most_queries: int = 10_000) -> DataFrame:
-    """(qid, key, score, rank) of a batch of query vectors (qid, query). Blocks of queries are broadcast; each task keeps its k best per query."""
-    asked = [(r.qid, list(r.query)) for r in queries.limit(most_queries + 1).collect()]
-    if len(asked) > most_queries:
-        raise ValueError(f"over {most_queries} queries: give them in batches")
+    """(qid, key, score, rank) of a batch of query vectors (qid, query). Blocks of about most_queries queries, by the hash of qid, are broadcast
+    in turn and searched against all rows; each task keeps its k best per query."""
+    found = [_block_top_k(vectors, block, k, key, vector, dict(queries.dtypes)["qid"]) for block in query_blocks(queries, most_queries)]
+    if not found:
+        return vectors.sparkSession.createDataFrame([], f"qid {dict(queries.dtypes)['qid']}, {key} {dict(vectors.dtypes)[key]}, score double, rank int")
+    return reduce(DataFrame.unionByName, found)
+
+
+def query_blocks(queries: DataFrame, most: int):
+    """Lists of (qid, query), one at a time; none is empty."""
+    n = -(-queries.count() // most)
+    for block in range(n):
+        asked = [(r.qid, list(r.query)) for r in queries.filter(F.pmod(F.xxhash64("qid"), F.lit(n)) == block).collect()]
+        if asked:
+            yield asked
+
+
+def _block_top_k(vectors: DataFrame, asked: list[tuple], k: int, key: str, vector: str, qkind: str) -> DataFrame:
     held = vectors.sparkSession.sparkContext.broadcast((np.array([q for _, q in asked], np.float32), [i for i, _ in asked]))
     kind = dict(vectors.dtypes)[key]
-    qkind = dict(queries.dtypes)["qid"]
 
     def search(frames):
         matrix, names = held.value

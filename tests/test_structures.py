@@ -101,6 +101,14 @@ def test_batch_search_is_exact(points):
         assert [got[r.qid][k] for k in (1, 2, 3)] == [x.vec_id for x in vectors.exact_top_k(points, list(r.query), 3).collect()]
 
 
+def test_batch_search_in_blocks(points):
+    queries = points.filter("vec_id < 9").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query"))
+    tell = lambda df: sorted(map(tuple, df.select("qid", "vec_id", "score", "rank").collect()))
+    want = tell(vectors.batch_top_k(points, queries, 3))
+    assert len(want) == 27 and tell(vectors.batch_top_k(points, queries, 3, most_queries=2)) == want
+    assert vectors.batch_top_k(points, queries.limit(0), 3).count() == 0
+
+
 def test_inverted_file(points):
     model = vectors.IvfPq.fit(points)
     index = model.index(points).cache()
