@@ -163,21 +163,63 @@ class IvfPq:
 
         return vectors.filter(F.col(vector).isNotNull()).select(key, vector).mapInPandas(place, f"{key} {kind}, cell int, codes array<int>, {vector} array<float>")
 
-    def search(self, index: DataFrame, query: list[float], k: int, nprobe: int = 1, rerank: int = 10, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
-        """(key, score): the nprobe nearest cells are read; product codes choose rerank * k rows, which are scored exactly."""
+    def search(self, index: DataFrame, query: list[float], k: int, nprobe: int = 1, rerank: int | None = 10, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
+        """(key, score): the nprobe nearest cells are read; product codes choose rerank * k rows (all where it is None), which are scored exactly."""
         q = np.asarray(query, np.float64)
         cells = ((self.centres - q) ** 2).sum(1).argsort()[:nprobe]
         w = self.books.shape[2]
         table = np.stack([self.books[s] @ q[s * w : (s + 1) * w] for s in range(len(self.books))])
         near = F.lit([float(c @ q) for c in self.centres])[F.col("cell")]
         guess = near + sum((F.lit([float(v) for v in table[s]])[F.col("codes")[s]] for s in range(len(table))), F.lit(0.0))
-        rows = index.filter(F.col("cell").isin([int(c) for c in cells])).select(key, vector, guess.alias("guess")).orderBy(F.desc("guess"), key).limit(rerank * k)
+        rows = index.filter(F.col("cell").isin([int(c) for c in cells])).select(key, vector, guess.alias("guess"))
+        rows = rows if rerank is None else rows.orderBy(F.desc("guess"), key).limit(rerank * k)
         return exact_top_k(rows, query, k, key, vector)
 
+    def batch_search(self, index: DataFrame, queries: DataFrame, k: int, nprobe: int = 1, rerank: int = 10, vector: str = "embedding", key: str = "vec_id", most_queries: int = 2_000) -> DataFrame:
+        """(qid, key, score, rank) of queries (qid, query), each as search() answers it; blocks of queries are broadcast."""
+        kinds = f"qid {dict(queries.dtypes)['qid']}, {key} {dict(index.dtypes)[key]}, score double"
+        found = [self._block_search(index, block, rerank * k, nprobe, vector, key, kinds) for block in query_blocks(queries, most_queries)]
+        if not found:
+            return index.sparkSession.createDataFrame([], f"{kinds}, rank int")
+        best = reduce(DataFrame.unionByName, found)
+        by_guess, by_score = Window.partitionBy("qid").orderBy(F.desc("guess"), key), Window.partitionBy("qid").orderBy(F.desc("score"), key)
+        chosen = best.withColumn("rank", F.row_number().over(by_guess)).filter(F.col("rank") <= rerank * k)
+        return chosen.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= k).select("qid", key, "score", "rank")
+
+    def _block_search(self, index: DataFrame, asked: list[tuple], most: int, nprobe: int, vector: str, key: str, kinds: str) -> DataFrame:
+        """The `most` rows with the best guesses of each query and task."""
+        held = index.sparkSession.sparkContext.broadcast((np.array([q for _, q in asked], np.float64), [i for i, _ in asked]))
+        centres, books = self.centres, self.books
 
-def agreement(found: DataFrame, exact: DataFrame, key: str = "vec_id") -> DataFrame:
+        def search(frames):
+            q, names = held.value
+            w = books.shape[2]
+            order = ((centres[None] - q[:, None]) ** 2).sum(2).argsort(1)[:, :nprobe]
+            probed = np.zeros((len(q), len(centres)), bool)
+            np.put_along_axis(probed, order, True, 1)
+            near = np.where(probed, q @ centres.T, -np.inf)
+            tables = [q[:, s * w : (s + 1) * w] @ books[s].T for s in range(len(books))]
+            best = [np.full((len(q), 0), 0.0), np.full((len(q), 0), 0, np.int64), np.full((len(q), 0), 0.0)]  # guess, key, score
+            for f in frames:
+                if not len(f):
+                    continue
+                codes = np.stack(f["codes"].to_numpy())
+                guess = near[:, f["cell"].to_numpy()] + sum(t[:, codes[:, s]] for s, t in enumerate(tables))
+                score = np.round(q @ np.stack(f[vector].to_numpy()).astype(np.float64).T, 5)
+                new = [guess, np.broadcast_to(f[key].to_numpy(np.int64), guess.shape), score]
+                best = [np.concatenate(p, 1) for p in zip(best, new, strict=True)]
+                top = np.lexsort((best[1], -best[0]))[:, :most]
+                best = [np.take_along_axis(p, top, 1) for p in best]
+            i, r = np.nonzero(best[0] > -np.inf)
+            yield pd.DataFrame({"qid": [names[j] for j in i], key: best[1][i, r], "score": best[2][i, r], "guess": best[0][i, r]})
+
+        return index.select(key, "cell", "codes", vector).mapInPandas(search, f"{kinds}, guess double")
+
+
+def agreement(found: DataFrame, exact: DataFrame, key: str | list[str] = "vec_id") -> DataFrame:
     """One row: how many of the exact keys were found, of how many, and whether all."""
-    hit = exact.select(key).join(found.select(F.col(key), F.lit(1).alias("hit")), key, "left")
+    keys = [key] if isinstance(key, str) else key
+    hit = exact.select(*keys).join(found.select(*keys, F.lit(1).alias("hit")), keys, "left")
     return hit.agg(F.count("hit").alias("agreed"), F.count("*").alias("asked"), (F.count("hit") == F.count("*")).alias("same"))
 
 

@@ -119,6 +119,20 @@ def test_inverted_file(points):
     assert model.search(index, q, 5, nprobe=1).first().vec_id == 11
 
 
+def test_inverted_file_in_batches(points):
+    model = vectors.IvfPq.fit(points)
+    index = model.index(points).cache()
+    queries = points.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query"))
+    got = {}
+    for r in model.batch_search(index, queries, 5, nprobe=2, most_queries=4).collect():
+        got.setdefault(r.qid, {})[r.rank] = (r.vec_id, r.score)
+    assert len(got) == 15
+    for r in queries.filter("qid < 60").collect():
+        assert [got[r.qid][n] for n in range(1, 6)] == [tuple(x) for x in model.search(index, list(r.query), 5, nprobe=2).collect()]
+    exact = vectors.batch_top_k(points, queries, 5)
+    assert vectors.agreement(model.batch_search(index, queries, 5, nprobe=4, rerank=100), exact, ["qid", "vec_id"]).first()[:] == (75, 75, True)
+
+
 def test_l2_and_winner(spark):
     row = spark.createDataFrame([(unit(1, 2), unit(2, 1))], "a array<double>, b array<double>").select(vectors.cosine("a", "b").alias("c"), vectors.cosine_from_l2(vectors.l2_squared("a", "b")).alias("d"), vectors.winner(F.lit(1), F.lit(1)).alias("w")).first()
     assert row.c == pytest.approx(row.d) and row.w == "left"
