@@ -93,8 +93,12 @@ def winner(a: Column, b: Column) -> Column:
     return F.when(a >= b, "left").otherwise("right")
 
 
-def similarity_matrix(few: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(a, b, score) of all pairs of a small set; for charts."""
+def similarity_matrix(few: DataFrame, key: str = "vec_id", vector: str = "embedding", every: DataFrame | None = None) -> DataFrame:
+    """(a, b, score) of all pairs of a small set, for charts; or of all pairs of a row of few and one of every, neither of which needs to be small."""
+    if every is not None:
+        a = few.select(F.col(key).alias("a"), F.col(vector).alias("va"))
+        b = every.select(F.col(key).alias("b"), F.col(vector).alias("vb"))
+        return a.crossJoin(b).select("a", "b", F.round(cosine("va", "vb"), 5).alias("score"))
     a = few.select(F.col(key).alias("a"), F.col(vector).alias("va"))
     b = few.select(F.col(key).alias("b"), F.col(vector).alias("vb"))
     return a.crossJoin(F.broadcast(b)).select("a", "b", F.round(cosine("va", "vb"), 5).alias("score"))

@@ -449,6 +449,13 @@ def similarity_matrix(spark, d):
     return vectors.similarity_matrix(table(spark, d, "embeddings").filter("vec_id < 20"))
 
 
+@query()
+def similarity_matrix_all(spark, d):
+    """Every row whose id is divisible by 20 against all rows."""
+    e = table(spark, d, "embeddings")
+    return vectors.similarity_matrix(e.filter("vec_id % 20 = 0"), every=e)
+
+
 @query()
 def semantic_search(spark, d):
     p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("category"))
@@ -550,6 +557,14 @@ for _fmt in formats.FORMATS:
     SQL[f"round_trip_{_fmt}"] = "SELECT p_partkey AS idx, p_name, p_size, p_retailprice FROM part" + " WHERE p_partkey < 500" * (_fmt == "json")
 
 
+@query("SELECT p_partkey AS idx, p_name, p_size, p_retailprice FROM part")
+def json_array_all(spark, d):
+    """All rows as JSON arrays and back; the SQL of round_trip_json fixes that query to idx < 500."""
+    rows, path = parts(spark, d), scratch_path(spark, "json")
+    formats.write_json_array(rows, path)
+    return formats.read_json_array(spark, path, rows.schema)
+
+
 @query("SELECT 'index' AS action, CAST(p_partkey AS VARCHAR) AS id, p_name AS name FROM part WHERE p_partkey % 3 <> 0 UNION ALL SELECT 'delete', CAST(p_partkey AS VARCHAR), NULL FROM part WHERE p_partkey % 3 = 0")
 def bulk_actions(spark, d):
     p = table(spark, d, "part")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
@@ -46,12 +47,20 @@ def read_ndjson(spark: SparkSession, path: str, schema=None) -> DataFrame:
 
 
 def write_json_array(rows: DataFrame, path: str) -> None:
-    """One JSON array, indented by 2: for small results that people read; it is made on the driver of at most 100,000 rows."""
-    few = rows.limit(100_001).toJSON().collect()
-    if len(few) > 100_000:
-        raise ValueError("too many rows for one JSON array: write NDJSON")
-    text = json.dumps([json.loads(r) for r in few], indent=2, ensure_ascii=False)
-    rows.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    """JSON, indented by 2: each file of the folder is an array of its partition's rows, written line by line by its task."""
+
+    def lines(frames):
+        first = True
+        for f in frames:
+            out = []
+            for row in f["value"]:
+                text = json.dumps(json.loads(row), indent=2, ensure_ascii=False)
+                out += ["[" if first else ",", *("  " + line for line in text.split("\n"))]
+                first = False
+            yield pd.DataFrame({"value": out}, dtype=object)
+        yield pd.DataFrame({"value": ["[]" if first else "]"]})
+
+    rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).mapInPandas(lines, "value string").write.mode("overwrite").option("maxRecordsPerFile", 0).text(path)
 
 
 def read_json_array(spark: SparkSession, path: str, schema=None) -> DataFrame:

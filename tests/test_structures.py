@@ -290,6 +290,18 @@ def test_near_duplicates(spark):
     assert got == {1: (1, 1), 2: (1, 1), 3: (3, 1), 4: (4, 4), 5: (5, 5), 6: (6, 6)}
 
 
+def test_json_array_of_many_rows(spark, tmp_path):
+    rows = spark.range(100_050).selectExpr("id", "if(id % 7 = 0, null, concat('é\\n', id)) AS name")
+    formats.write_json_array(rows, str(tmp_path / "j"))
+    back = formats.read_json_array(spark, str(tmp_path / "j"), rows.schema)
+    assert back.count() == 100_050 and back.exceptAll(rows).isEmpty()
+
+
+def test_similarity_of_queries_and_all_rows(points):
+    got = vectors.similarity_matrix(points.filter("vec_id % 20 = 0"), every=points).collect()
+    assert len(got) == 15 * 300 and all(r.score == 1 for r in got if r.a == r.b)
+
+
 def test_linked_documents_equal_brute_force(spark):
     base = [f"w{k}" for k in range(60)]
     near = base[:59] + ["other"]
