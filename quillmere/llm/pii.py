@@ -82,15 +82,18 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 #: What may be personal data, much of it not.
 GENERATORS = {
     "email": re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]|\{at\}| at ) ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]|\{dot\}| dot |\.) ?[A-Za-z0-9-]{1,63}){1,4}"),
-    "phone": re.compile(r"(?<![0-9+.])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])"),
+    "phone": re.compile(r"(?<![0-9+.])\(?[0-9]{2,4}(?:\)[ .-]?|[ .-])[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])"),
     "card": re.compile(r"(?<![0-9])[0-9]{4}(?:[. _/][0-9]{4}){3}(?![0-9])"),
     "id": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     "account": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
-    "ip": re.compile(r"(?<![A-Za-z0-9:])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![A-Za-z0-9:])"),
-    "secret": re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,128}(?![A-Za-z0-9+/_-])"),
+    "ip": re.compile(
+        r"(?<![A-Za-z0-9:])(?:(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}"
+        r"|(?=:*[0-9A-Fa-f])(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?)(?![A-Za-z0-9:])"
+    ),
+    "secret": re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}(?![A-Za-z0-9+/_-])"),
 }
 #: Cheap signs, one of which any candidate of the kind shows.
-SIGNS = {"email": re.compile(r"\bat\b"), "card": re.compile(r"[0-9]{4}[. _/][0-9]{4}"), "id": re.compile(r"[0-9]-[0-9]{2}-"), "account": re.compile(r"[A-Z]{2}[0-9]{2}"), "ip": re.compile(r"[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:"), "phone": re.compile(r"[0-9]{2}\)?[ .-][0-9]{3}"), "secret": re.compile(r"[A-Za-z0-9+/_-]{20}")}
+SIGNS = {"email": re.compile(r"\bat\b"), "card": re.compile(r"[0-9]{4}[. _/][0-9]{4}"), "id": re.compile(r"[0-9]-[0-9]{2}-"), "account": re.compile(r"[A-Z]{2}[0-9]{2}"), "ip": re.compile(r"[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:|::"), "phone": re.compile(r"[0-9]{2}(?:\)[ .-]?|[ .-])[0-9]{3}"), "secret": re.compile(r"[A-Za-z0-9+/_-]{20}")}
 KINDS = tuple(GENERATORS)
 CUES = {
     "email": ("mail", "contact", "write", "reach"),
@@ -153,18 +156,20 @@ def examples(n: int, seed: int = 7) -> list[tuple[str, str, int, int, bool]]:
     pick = lambda s, k: "".join(r.choice(s) for _ in range(k))
     hexa, b64 = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 
+    groups = lambda n: ":".join(pick(hexa, 4).lstrip("0") or "0" for _ in range(n))
+
     def card() -> str:
         x = num(15)
         return next(x + c for c in "0123456789" if luhn(x + c))
 
     good = {
         "email": lambda: f"{name()}{r.choice([' at ', ' (at) ', '(at)', '[at]', ' [at] '])}{name()}{r.choice([' dot ', ' (dot) ', '[dot]', '.'])}{r.choice(['com', 'org', 'net', 'de', 'fr'])}",
-        "phone": lambda: r.choice([f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"{num(3)}.{num(3)}.{num(4)}", f"{num(4)} {num(3)} {num(4)}"]),
+        "phone": lambda: r.choice([f"({num(3)}) {num(3)}-{num(4)}", f"({num(3)}){num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"{num(3)}.{num(3)}.{num(4)}", f"{num(4)} {num(3)} {num(4)}"]),
         "card": lambda: r.choice([".", "_", "/", " "]).join(re.findall("....", card())),
         "id": lambda: f"{num(3)}-{num(2)}-{num(4)}",
         "account": lambda: f"{pick('DEFGBIT', 2)}{num(2)}" + r.choice(["", " "]).join(["", *re.findall("....", num(16))]) + num(2),
-        "ip": lambda: ":".join(pick(hexa, 4).lstrip("0") or "0" for _ in range(8)),
-        "secret": lambda: r.choice([pick(hexa, r.choice([32, 40, 64])), pick(b64, r.randint(20, 48)), "sk_" + pick(b64, 24), "AK" + pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 18)]),
+        "ip": lambda: r.choice([groups(8), f"{groups(r.randint(1, 5))}::{groups(r.randint(1, 2))}", f"fe80::{groups(4)}"]),
+        "secret": lambda: r.choice([pick(hexa, r.choice([32, 40, 64])), pick(b64, r.randint(20, 48)), pick(b64 + "-_", r.randint(129, 600)), "sk_" + pick(b64, 24), "AK" + pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 18)]),
     }
     bad = {
         "email": lambda: f"{r.choice(WORDS)} at {r.choice(WORDS)}.{r.choice(WORDS).capitalize()}",
@@ -172,8 +177,8 @@ def examples(n: int, seed: int = 7) -> list[tuple[str, str, int, int, bool]]:
         "card": lambda: "/".join(num(4) for _ in range(4)),
         "id": lambda: f"{num(3)}-{num(2)}-{num(4)}",
         "account": lambda: f"{pick('ABXYZ', 2)}{num(2)} {pick('ABCDEFGH', 4)} {num(4)}",
-        "ip": lambda: ":".join(num(2) for _ in range(4)),
-        "secret": lambda: r.choice(["-".join(r.choice(WORDS) for _ in range(r.randint(5, 9))), "/".join([name() for _ in range(5)]), name() + name() + name() + name(), pick(hexa, 40), "-" * 30, "a" * 25, "_".join([name() for _ in range(4)])]),
+        "ip": lambda: r.choice([":".join(num(2) for _ in range(4)), f"{num(1)}::{num(1)}", f"::{r.choice(['add', 'bad', 'dec', 'fade'])}"]),
+        "secret": lambda: r.choice(["-".join(r.choice(WORDS) for _ in range(r.randint(5, 9))), "/".join([name() for _ in range(5)]), name() + name() + name() + name(), pick(hexa, 40), "-" * 30, "a" * 25, "-" * r.randint(129, 300), "/".join(name() for _ in range(40)), "_".join([name() for _ in range(4)])]),
     }
     out = []
     while len(out) < n:
@@ -275,7 +280,7 @@ class Model:
     def spans(self, text: str, taken: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
         """Accepted spans that overlap none of `taken` and each other."""
         scored = []
-        taken = sorted(taken)
+        taken = _merged(taken)
         for kind, a, b in candidates(text):
             if not _overlaps(taken, a, b):
                 p = float(self.probability(self.trees.score(span_features(text, kind, a, b))))
@@ -292,11 +297,22 @@ class Model:
 
 
 def _overlaps(taken: list[tuple[int, int]], a: int, b: int) -> bool:
-    """Whether [a, b) meets one of the spans, which are sorted; base spans of different kinds may overlap one another."""
+    """Whether [a, b) meets one of the spans, which are sorted and disjoint: the last that starts before b has the largest end."""
     from bisect import bisect_left
 
     k = bisect_left(taken, (b, -1))
-    return any(taken[j][1] > a for j in range(max(0, k - 8), k))
+    return k > 0 and taken[k - 1][1] > a
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted disjoint spans with the same places; base spans of different kinds may overlap one another."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
 
 
 def find(text: str, model: Model) -> tuple[dict[str, list[tuple[int, int]]], list[tuple[str, int, int]]]:

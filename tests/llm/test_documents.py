@@ -247,6 +247,23 @@ def test_boosted_candidates(model):
     assert pii.find("plain prose of the day, page 12 of 300.", model)[1] == []
 
 
+def test_wider_candidates(model):
+    r = random.Random(5)
+    token = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-") for _ in range(400))
+    for kind, s, text in [
+        ("secret", token, f"the token: {token} of the day"),
+        ("ip", "2001:db8::8a2e:370", "server address is 2001:db8::8a2e:370 on it"),
+        ("ip", "fe80::1c2d:3e4f:5a6b:7c8d", "host: fe80::1c2d:3e4f:5a6b:7c8d, up"),
+        ("phone", "(555)123-4567", "call (555)123-4567 to be sure"),
+    ]:
+        a = text.index(s)
+        assert (kind, a, a + len(s)) in pii.candidates(text), s
+        assert (kind, a, a + len(s)) in pii.find(text, model)[1], s
+    assert [k for k, _, _ in pii.candidates("std::vector and a :: b, x::y")] == []
+    nested = pii._merged([(0, 100), *((k, k + 1) for k in range(1, 30))])
+    assert pii._overlaps(nested, 60, 70) and not pii._overlaps(nested, 100, 110)
+
+
 def test_spans_and_redaction(spark, model):
     rows = [*EDGES, (30, "é ann@ex.org and +1 (212) 555-1234, 4111 1111 1111 1111 at 10.0.0.1")]
     got = {}
