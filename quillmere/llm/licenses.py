@@ -4,8 +4,8 @@ Base: places where a phrase's words stand one after another. Method: a block is
 piece of PIECE words that starts at a multiple of half of that; a template's label holds if some block contains `THRESHOLD` or more of
 its distinct words. Tokens are ordered by how many documents hold them, over all documents. Of a template of n words, of which t are
 needed, any such block holds one of the n - t + 1 rarest: blocks meet templates on those prefix tokens (templates are a fixed list, broadcast). Then the
-length filter (a block has t words at least), the positional filter (words left in the order, in the template and among the block's known words,
-reach t) and exact verification.
+length filter (a block has t words at least), a positional filter that is void (the template's words from a
+prefix token on always reach t) and exact verification. Statements wrapped over lines are missed where no line holds t of their words, as in the SQL.
 
 Defined results: null or empty text: no words, no labels, score 0. Null doc_id: kept. Repeated rows: a row each. Empty table: no rows.
 Other columns are ignored.
