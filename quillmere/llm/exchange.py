@@ -1,10 +1,13 @@
-"""Chunks of documents that exchange sorted hash sets through buckets.
+"""Chunks of documents that exchange messages through buckets.
 
-Documents are dealt to chunks by a hash of the row; all of a chunk's work happens in one task that holds the chunk (about
-`CHUNK_MB` of input files). What a chunk has to compare with the rest of the corpus goes, as one packed row per bucket, to
-buckets of the hash space; a bucket answers each chunk that asked. A hash goes out once per chunk however often it
-stands there, and rows of a chunk are one per bucket, so neither copies nor common passages make a task or a group large.
-The documents are shuffled once: every step reads the same exchange.
+Documents are dealt to chunks by a hash of the row and of its place in the input; all of a chunk's work happens in one task that holds the chunk
+(about `CHUNK_MB` of input files). What a chunk has to compare with the rest of the corpus goes to buckets of the hash space, one message a bucket; a
+bucket answers each chunk that asked. A hash goes out once per chunk however often it stands there, so neither copies nor common
+passages make a task or a group large. The documents are shuffled once: every step reads the same exchange.
+
+Messages travel in packets. A group sends at most `FAN` packets, whatever the number of receivers: while there are more receivers than that, a packet
+goes to a hop, which takes the packets of `FAN` senders for one stretch of the receivers and sends them on to at most FAN smaller stretches. So
+there are at most FAN rows for each chunk and hop, in proportion to the input, and one hop more for every factor of FAN.
 """
 
 from __future__ import annotations
@@ -16,10 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmere.llm.batches import id_text, release
-from quillmere.sources.scratch import input_bytes, parts_for
+from quillmere.llm.batches import id_text, release, schema_of
+from quillmere.sources.scratch import input_bytes, materialise, parts_for
 
 CHUNK_MB = 6
+FAN = 512
 WIDE = np.uint64(0xFFFFFFFFFFFFFFFF)
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -54,10 +58,14 @@ def rolled(values: np.ndarray, width: int, base: int) -> np.ndarray:
 
 
 def chunked(docs: DataFrame, mb: float = CHUNK_MB) -> tuple[DataFrame, int]:
-    """Rows with their chunk (of about mb MB of input files), all of a chunk in one partition; and the number of chunks."""
+    """Rows with their chunk (of about mb MB of input files), all of a chunk in one partition; and the number of chunks. A row's place in its input
+    partition takes part in the deal, so that equal rows are spread; it must be the same when a lost task runs again, so what is computed
+    by a shuffle is written first."""
     rows = id_text(docs)
+    if "Exchange" in rows._jdf.queryExecution().executedPlan().toString():
+        rows = materialise(rows, "dealt")
     n = parts_for(docs, mb, 33)
-    chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")
+    chunk = F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(n)).cast("int")
     return rows.withColumn("chunk", chunk).repartition(n, "chunk"), n
 
 
@@ -118,3 +126,70 @@ def bits_of(flags: np.ndarray) -> bytes:
 
 def flags_of(blob: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(blob, np.uint8), count=n).astype(bool)
+
+
+def joined(*parts: bytes) -> bytes:
+    """Several byte strings as one, each after its length."""
+    return b"".join(b for p in parts for b in (len(p).to_bytes(4, "little"), p))
+
+
+def parted(blob: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(blob):
+        n = int.from_bytes(blob[at : at + 4], "little")
+        out.append(blob[at + 4 : at + 4 + n])
+        at += 4 + n
+    return out
+
+
+# --- messages -----------------------------------------------------------------------------------------------------
+
+#: (receiver, sender, kind, content)
+Message = tuple[int, int, int, bytes]
+PACKET = "goal int, origin int, blob binary"
+
+
+def sealed(messages: list[Message]) -> bytes:
+    head = np.array([(to, by, kind, len(b)) for to, by, kind, b in messages], "<i4")
+    return len(messages).to_bytes(4, "little") + head.tobytes() + b"".join(m[3] for m in messages)
+
+
+def opened(blobs: list[bytes]) -> list[Message]:
+    """The messages of some packets, in an order that they alone fix."""
+    out: list[Message] = []
+    for blob in blobs:
+        n = int.from_bytes(blob[:4], "little")
+        head = np.frombuffer(blob, "<i4", 4 * n, 4).reshape(n, 4)
+        at = 4 + 16 * n
+        for to, by, kind, size in head.tolist():
+            out.append((to, by, kind, blob[at : at + size]))
+            at += size
+    out.sort(key=lambda m: m[:3])
+    return out
+
+
+class Network:
+    """Packets between `senders` and `receivers` groups, numbered from 0."""
+
+    def __init__(self, senders: int, receivers: int, fan: int = FAN):
+        self.fan, self.levels = fan, 1
+        while fan**self.levels < max(senders, receivers):
+            self.levels += 1
+
+    def packets(self, messages: list[Message], level: int = 0) -> pa.Table:
+        """The rows that a group sends: at most `fan`."""
+        stretch, block = self.fan ** (self.levels - 1 - level), self.fan ** (level + 1)
+        held: dict[int, list[Message]] = {}
+        for m in messages:
+            held.setdefault(m[0] // stretch, []).append(m)
+        origin = messages[0][1] // block if messages else 0
+        return pa.table({"goal": pa.array(list(held), pa.int32()), "origin": pa.array([origin] * len(held), pa.int32()), "blob": pa.array(map(sealed, held.values()), pa.binary())})
+
+    def delivered(self, sent: DataFrame):
+        """sent, grouped by receiver, after the hops that it takes."""
+        for level in range(1, self.levels):
+            sent = sent.groupBy("goal", "origin").applyInArrow(self._hop(level), schema_of(PACKET))
+        return sent.groupBy("goal")
+
+    def _hop(self, level: int):
+        return lambda t: give_back(lambda own: self.packets(opened(own.column("blob").to_pylist()), level))(t)

@@ -3,19 +3,22 @@
 Words are hashed; non-overlapping blocks of `block` words, at every multiple of `block` in a document, are the index. Any
 window of `window` >= 2 * block - 1 words holds a whole block wherever it stands, so a window that starts twice holds a place where its
 own rolling hash meets an indexed block that is also elsewhere: an anchor. Every rolling hash of every document is a probe
-(chunks exchange sorted sets, see exchange.py), and only anchors come back. Hits are extended from the anchors to all windows around them; windows are then
-compared whole, by 96 bits of independent hashes counted over the corpus, so that runs of equal windows are the
-maximal exact repeats, whatever their number of copies, without pairs.
+(chunks exchange sorted sets, see exchange.py), and only anchors come back. Whether a place is an anchor depends on its words alone, so equal
+windows hold equal anchors, and each window is tied to the smallest hash among its own. The words around an anchor that its windows reach go to the anchor's
+bucket, each distinct stretch once per chunk. There hits are extended: a stretch that stands twice is a repeat as a whole; of stretches that differ, the
+windows from the leftmost to the rightmost around the anchor are compared, word for word, and those that another stretch shares are told
+to the chunks. Runs of such windows are the maximal exact repeats, whatever their number of copies, without pairs. The windows of an anchor that stands very
+often go one by one, dealt by their words instead of by the anchor, so that no bucket grows with it.
 
 Defined results: null, empty or blank text: no words, nothing removed. Fewer words than a window: nothing removed. Null
-doc_id: a document like any other. Repeated rows: documents of their own, which repeat one another. Empty table: no rows. Ties: none, all copies go.
-Other columns are ignored.
+doc_id: a document like any other. Repeated rows: documents of their own, which repeat one another, spread over the chunks. Empty table: no rows.
+Ties: none, all copies go. Very long texts: hashed and tied by sections; a chunk is never smaller than its longest text. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-from itertools import compress
+from itertools import accumulate, compress
 
 import numpy as np
 import pyarrow as pa
@@ -23,14 +26,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillmere.llm import exchange as x
 from quillmere.llm.batches import documents, schema_of
+from quillmere.sources.scratch import parts_for
 
 WINDOW = 35
 BLOCK = 18
-BASE_A, BASE_B, BASE_C = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
+BASE = 0x9E3779B97F4A7C15
 SECTION = 1 << 20
 CACHE_WORDS = 400_000
-ASK = "bucket int, chunk int, kind int, blob binary"
-ANSWER = "chunk int, kind int, bucket int, blob binary"
+#: Input megabytes for each bucket, from MIN_BUCKETS buckets on.
+BUCKET_MB, MIN_BUCKETS = 24, 64
+#: Places of windows are told apart by this many bits within a section.
+PLACE_BITS = 21
+#: An anchor counts as common from so many occurrences on (by lower bounds of the chunks' counts).
+COMMON = 512
 OUT = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string"
 
 
@@ -76,22 +84,16 @@ def whole(starts: np.ndarray, n: int, width: int) -> np.ndarray:
     return ok
 
 
-def rows(chunk: int, buckets: np.ndarray, blobs: list[bytes], kind: int) -> pa.Table:
-    n = len(blobs)
-    return pa.table({"bucket": pa.array(buckets, pa.int32()), "chunk": pa.array([chunk] * n, pa.int32()), "kind": pa.array([kind] * n, pa.int32()), "blob": pa.array(blobs, pa.binary())})
-
-
-def answers(chunks: list[int], kinds: list[int], buckets: list[int], blobs: list[bytes]) -> pa.Table:
-    return pa.table({"chunk": pa.array(chunks, pa.int32()), "kind": pa.array(kinds, pa.int32()), "bucket": pa.array(buckets, pa.int32()), "blob": pa.array(blobs, pa.binary())})
-
-
 class Plan:
-    """The steps' functions; window, block, bits and buckets are fixed for a run."""
+    """The steps' functions; window, block, bits, the number of buckets and the network are fixed for a run."""
 
-    def __init__(self, window: int, block: int, bits: int, buckets: int):
+    def __init__(self, window: int, block: int, bits: int, chunks: int, buckets: int = MIN_BUCKETS, common: int = COMMON, fan: int = x.FAN):
         if window < 2 * block - 1:
             raise ValueError("a window must hold a whole block wherever it starts")
-        self.window, self.block, self.bits, self.buckets = window, block, bits, buckets
+        if window - block + 1 > 32:
+            raise ValueError("an anchor must have 1 to 32 windows")
+        self.window, self.block, self.bits, self.buckets, self.common = window, block, bits, buckets, common
+        self.net = x.Network(chunks, buckets, fan)
 
     # a chunk's words
 
@@ -99,10 +101,10 @@ class Plan:
         """Rolling hashes of `block` words and which of their places count."""
         if len(hashes) < self.block:
             return np.zeros(0, np.uint64), np.zeros(0, bool)
-        return x.mix(x.rolled(hashes, self.block, BASE_A)) >> np.uint64(64 - self.bits), whole(starts, len(hashes), self.block)
+        return x.mix(x.rolled(hashes, self.block, BASE)) >> np.uint64(64 - self.bits), whole(starts, len(hashes), self.block)
 
     def ask(self, table: pa.Table) -> pa.Table:
-        """Step 1: all probes of a chunk; flag 1: more than once here, flag 2: an indexed block here."""
+        """Step 1: all probes of a chunk; flags 0 to 3: once here, 2, 32, 256 times or more; and a bit for each that is an indexed block here."""
         chunk = table.column("chunk")[0].as_py()
         hashes, starts = word_hashes(x.texts(table)[1])
         h, ok = self.probes(hashes, starts)
@@ -111,94 +113,159 @@ class Plan:
             indexed[a : max(a, b - self.block + 1) : self.block] = True
         h, indexed = h[ok], indexed[ok]
         if not len(h):
-            return rows(chunk, np.zeros(0, np.int64), [], 0)
+            return self.net.packets([])
         s = np.sort((h << np.uint64(1)) | indexed)
         v = s >> np.uint64(1)
         first = np.flatnonzero(np.diff(v, prepend=v[0] ^ np.uint64(1)))
         own = np.maximum.reduceat(s & np.uint64(1), first)
-        many = np.diff(np.append(first, len(v))) > 1
-        v, flags = v[first], (many + 2 * own).astype(np.uint8)
+        times = np.searchsorted([2, 32, 256], np.diff(np.append(first, len(v))), "right")
+        v, times = v[first], times.astype(np.uint8)
         names, cuts = x.bucket_cuts(v, self.bits, self.buckets)
-        return rows(chunk, names, [x.packed(v[a:b], flags[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], 0)
+        return self.net.packets([(int(k), chunk, 0, x.joined(x.packed(v[a:b], times[a:b]), x.bits_of(own[a:b]))) for k, a, b in zip(names, cuts[:-1], cuts[1:], strict=True)])
 
     def anchors(self, table: pa.Table) -> pa.Table:
-        """Step 2, in a bucket: for each chunk, its probes that meet an indexed block and stand elsewhere too."""
-        chunks = table.column("chunk").to_pylist()
-        sets = [x.unpacked(b) for b in table.column("blob").to_pylist()]
+        """Step 2, in a bucket: for each chunk, its probes that meet an indexed block and stand elsewhere too; flag 1: common."""
+        asked = x.opened(table.column("blob").to_pylist())
+        parts = [x.parted(m[3]) for m in asked]
+        sets = [x.unpacked(p[0]) for p in parts]
         v = np.concatenate([s[0] for s in sets])
         order = np.argsort(v, kind="stable")
         v = v[order]
-        flags = np.concatenate([s[1] for s in sets])[order]
-        first = np.flatnonzero(np.diff(v, prepend=v[0] ^ np.uint64(1)))
+        times = np.concatenate([s[1] for s in sets])[order]
+        indexed = np.concatenate([x.flags_of(p[1], len(s[0])) for p, s in zip(parts, sets, strict=True)])[order]
+        first = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
         n = np.diff(np.append(first, len(v)))
-        held = np.bitwise_or.reduceat(flags, first)
-        good = ((n > 1) | (held & 1 > 0)) & (held & 2 > 0)
-        back = np.zeros(len(v), bool)
+        total = np.add.reduceat(np.array([1, 2, 32, 256])[times], first)
+        good = (total > 1) & np.logical_or.reduceat(indexed, first)
+        back, common = np.zeros(len(v), bool), np.zeros(len(v), np.uint8)
         back[order] = np.repeat(good, n)
-        out, at, bucket = [], 0, table.column("bucket")[0].as_py()
-        for c, (own, _) in zip(chunks, sets, strict=True):
-            mine = own[back[at : at + len(own)]]
+        common[order] = np.repeat(total >= self.common, n)
+        out, at = [], 0
+        for (to, chunk, _, _), (own, _) in zip(asked, sets, strict=True):
+            mine = back[at : at + len(own)]
+            if mine.any():
+                out.append((chunk, to, 0, x.packed(own[mine], common[at : at + len(own)][mine])))
             at += len(own)
-            if len(mine):
-                out.append((c, x.packed(mine, np.zeros(len(mine), np.uint8))))
-        return answers([c for c, _ in out], [0] * len(out), [bucket] * len(out), [b for _, b in out])
-
-    def candidates(self, hashes: np.ndarray, starts: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Places of the windows that hold an anchor; their two hashes; their order by hash; where distinct windows begin in it."""
-        near = np.zeros(max(len(hashes) - self.window + 1, 0), bool)
-        total = np.append(0, np.cumsum(hit))
-        if len(near):
-            reach = np.arange(len(near))
-            near = (total[np.minimum(reach + self.window - self.block + 1, len(hit))] - total[reach] > 0) & whole(starts, len(hashes), self.window)
-        at = np.flatnonzero(near)
-        a = x.mix(x.rolled(hashes, self.window, BASE_B))[at] if len(at) else np.zeros(0, np.uint64)
-        b = (x.mix(x.rolled(x.mix(hashes), self.window, BASE_C))[at] >> np.uint64(32)).astype(np.uint32) if len(at) else np.zeros(0, np.uint32)
-        order = np.lexsort((b, a))
-        sa, sb = a[order], b[order]
-        first = np.flatnonzero(np.append(True, (sa[1:] != sa[:-1]) | (sb[1:] != sb[:-1]))) if len(at) else np.zeros(0, np.int64)
-        return at, sa, sb, order, first
-
-    def confirm_ask(self, docs: pa.Table, hits: pa.Table) -> pa.Table:
-        """Step 3: the distinct windows around a chunk's anchors; and, for its own later use, the places of its anchors."""
-        chunk = docs.column("chunk")[0].as_py()
+        return self.net.packets(out)
+
+    def tied(self, h: np.ndarray, hit: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Runs of windows with one anchor: their first window, how many windows, and the anchor's place. Windows without an anchor are left out."""
+        width = self.window - self.block + 1
+        ok = whole(starts, n, self.window)
+        firsts, counts, places = [], [], []
+        mask = np.uint64((1 << PLACE_BITS) - 1)
+        for a in range(0, len(ok), SECTION):
+            b = min(len(h), a + SECTION + width - 1)
+            low = np.where(hit[a:b], (h[a:b] & ~mask) | np.arange(b - a, dtype=np.uint64), x.WIDE)
+            size = 1
+            while size * 2 <= width:
+                low = np.minimum(low[:-size], low[size:])
+                size *= 2
+            if width > size:
+                low = np.minimum(low[: len(low) - (width - size)], low[width - size :])
+            place = np.where((low != x.WIDE) & ok[a : a + len(low)], (low & mask).astype(np.int64), -1)
+            edge = np.flatnonzero(np.diff(place, prepend=-2))
+            keep = place[edge] >= 0
+            firsts.append(edge[keep] + a)
+            counts.append((np.append(edge[1:], len(place)) - edge)[keep])
+            places.append(place[edge[keep]] + a)
+        join = lambda v: np.concatenate(v).astype(np.int64) if v else np.zeros(0, np.int64)
+        return join(firsts), join(counts), join(places)
+
+    def stretches(self, raw: list[bytes], hashes: np.ndarray, starts: np.ndarray, hit: np.ndarray, common: np.ndarray) -> tuple[dict, np.ndarray, np.ndarray]:
+        """What a chunk sends: per bucket the distinct stretches of words (of a common anchor, single windows) with their anchor's hash and
+        places, in an order that the rows alone fix. Then the first window and the number of windows of each place."""
+        h = self.probes(hashes, starts)[0]
+        first, count, place = self.tied(x.mix(h), hit, starts, len(hashes))
+        own = np.repeat(np.arange(len(first)), np.where(common[place], count, 1))
+        single = common[place][own]
+        step = np.arange(len(own)) - np.searchsorted(own, own)
+        first, count, anchor = first[own] + step, np.where(single, 1, count[own]), h[place[own]]
+        doc = np.searchsorted(starts, first, "right") - 1
+        mixed = x.mix(anchor)  # by their own order the smallest hashes would crowd in the first buckets
+        bucket = (((mixed >> np.uint64(32)) * np.uint64(self.buckets)) >> np.uint64(32)).tolist()
+        name = (mixed & np.uint64(0xFFFFFFFF)).tolist()
+        sent: dict[int, dict[bytes, tuple[int, list[int]]]] = {}
+        more, at, words = self.window - 1, -1, []
+        for k, (a, n, d, b, one) in enumerate(zip(first.tolist(), count.tolist(), doc.tolist(), bucket, single.tolist(), strict=True)):
+            if d != at:
+                at, words, begin = d, words_of(raw[d]), int(starts[d])
+            t = b" ".join(words[a - begin : a - begin + n + more])
+            if one:
+                b = int.from_bytes(hashlib.blake2b(t, digest_size=4).digest(), "little") % self.buckets
+            held = sent.setdefault(b, {})
+            if t in held:
+                held[t][1].append(k)
+            else:
+                held[t] = (name[k], [k])
+        return sent, first, count
+
+    def stretches_ask(self, docs: pa.Table, hits: pa.Table) -> pa.Table:
+        """Step 3: the words around a chunk's anchors; and, for its own later use, which of its places are anchors and common."""
         if not hits.num_rows:
-            return rows(chunk, np.zeros(0, np.int64), [], 0)
-        hashes, starts = word_hashes(x.texts(docs)[1])
+            return self.net.packets([])
+        chunk = docs.column("chunk")[0].as_py()
+        raw = x.texts(docs)[1]
+        hashes, starts = word_hashes(raw)
         h, ok = self.probes(hashes, starts)
-        wanted = np.sort(np.concatenate([x.unpacked(b)[0] for b in hits.column("blob").to_pylist()]))
+        got = [x.unpacked(m[3]) for m in x.opened(hits.column("blob").to_pylist())]
+        wanted, flags = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
+        order = np.argsort(wanted)
+        wanted, flags = wanted[order], flags[order]
         place = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
         hit = (wanted[place] == h) & ok
-        _, sa, sb, _, first = self.candidates(hashes, starts, hit)
-        many = np.diff(np.append(first, len(sa))) > 1
-        a, b = sa[first], sb[first]
-        names, cuts = x.bucket_cuts(a, 64, self.buckets)
-        blobs = [len(a[p:q]).to_bytes(4, "little") + a[p:q].astype("<u8").tobytes() + b[p:q].astype("<u4").tobytes() + x.bits_of(many[p:q]) for p, q in zip(cuts[:-1], cuts[1:], strict=True)]
-        own = rows(chunk, np.array([chunk % self.buckets]), [x.bits_of(hit)], 1)
-        return pa.concat_tables([rows(chunk, names, blobs, 0), own])
-
-    def confirm(self, table: pa.Table) -> pa.Table:
-        """Step 4, in a bucket: which of each chunk's windows stand twice or more anywhere."""
-        out = []
-        asked = []
-        for c, kind, blob, bucket in zip(*(table.column(k).to_pylist() for k in ("chunk", "kind", "blob", "bucket")), strict=True):
+        common = hit & (flags[place] > 0)
+        sent = self.stretches(raw, hashes, starts, hit, common)[0]
+        out = [(chunk % self.buckets, chunk, 1, x.joined(x.bits_of(hit), x.bits_of(common)))]
+        for b, held in sorted(sent.items()):
+            names = np.array([v[0] for v in held.values()], "<u4").tobytes()
+            out.append((b, chunk, 0, x.joined(names, x.bits_of(np.array([len(v[1]) > 1 for v in held.values()])), b"\n".join(held))))
+        return self.net.packets(out)
+
+    def extend(self, table: pa.Table) -> pa.Table:
+        """Step 4, in a bucket: extend the hits; for each chunk's stretches, a bit per window that stands twice or more anywhere."""
+        out, asked = [], []
+        known: dict[bytes, list[int]] = {}  # stretch -> number, how often at least, name of its anchor
+        for to, chunk, kind, blob in x.opened(table.column("blob").to_pylist()):
             if kind:
-                out.append((c, 1, bucket, blob))
-            else:
-                n = int.from_bytes(blob[:4], "little")
-                asked.append((c, bucket, np.frombuffer(blob, "<u8", n, 4), np.frombuffer(blob, "<u4", n, 4 + 8 * n), x.flags_of(blob[4 + 12 * n :], n)))
-        if asked:
-            a, b, many = (np.concatenate([s[k] for s in asked]) for k in (2, 3, 4))
-            order = np.lexsort((b, a))
-            sa, sb = a[order], b[order]
-            first = np.flatnonzero(np.append(True, (sa[1:] != sa[:-1]) | (sb[1:] != sb[:-1])))
-            n = np.diff(np.append(first, len(sa)))
-            good = np.zeros(len(a), bool)
-            good[order] = np.repeat((n > 1) | np.bitwise_or.reduceat(many[order], first), n)
-            at = 0
-            for c, bucket, own, *_ in asked:
-                out.append((c, 0, bucket, x.bits_of(good[at : at + len(own)])))
-                at += len(own)
-        return answers([o[0] for o in out], [o[1] for o in out], [o[2] for o in out], [o[3] for o in out])
+                out.append((chunk, to, 1, blob))
+                continue
+            names, many, text = x.parted(blob)
+            own = text.split(b"\n")
+            numbers = []
+            for t, name, twice in zip(own, np.frombuffer(names, "<u4").tolist(), x.flags_of(many, len(own)).tolist(), strict=True):
+                held = known.setdefault(t, [len(known), 0, name])
+                held[1] += 1 + twice
+                numbers.append(held[0])
+            asked.append((chunk, to, numbers))
+        masks = np.zeros(len(known), np.uint32)
+        around: dict[int, list[bytes]] = {}
+        for t, (_, _, name) in known.items():
+            around.setdefault(name, []).append(t)
+        for own in around.values():
+            self._compare(own, known, masks)
+        return self.net.packets(out + [(chunk, to, 0, masks[np.array(numbers)].astype("<u4").tobytes()) for chunk, to, numbers in asked])
+
+    def _compare(self, own: list[bytes], known: dict[bytes, list[int]], masks: np.ndarray) -> None:
+        """Mark the repeated windows of the stretches around one anchor."""
+        seen: dict[bytes, list] = {}
+        for t in own:
+            number, times, _ = known[t]
+            n = t.count(b" ") - self.window + 2
+            if times > 1:
+                masks[number] = (1 << n) - 1
+            if len(own) == 1:
+                return
+            cuts = [0, *accumulate(len(w) + 1 for w in t.split(b" "))]
+            for k in range(n):
+                w = t[cuts[k] : cuts[k + self.window] - 1]
+                if (before := seen.get(w)) is None:
+                    seen[w] = [(number, k)]
+                else:
+                    if before[-1] is not None:  # the first two places are marked together, further ones as they come
+                        masks[before[0][0]] |= np.uint32(1 << before[0][1])
+                        seen[w] = [None]
+                    masks[number] |= np.uint32(1 << k)
 
     def cut(self, docs: pa.Table, told: pa.Table) -> pa.Table:
         """Step 5: remove what repeated windows cover."""
@@ -206,16 +273,20 @@ class Plan:
         covered = starts = None
         if told.num_rows:
             hashes, starts = word_hashes(raw)
-            got = {(k, b): blob for k, b, blob in zip(*(told.column(c).to_pylist() for c in ("kind", "bucket", "blob")), strict=True)}
-            hit = x.flags_of(next(v for (k, _), v in got.items() if k), max(len(hashes) - self.block + 1, 0))
-            at, sa, _, order, first = self.candidates(hashes, starts, hit)
-            names, cuts = x.bucket_cuts(sa[first], 64, self.buckets)
-            good = np.concatenate([x.flags_of(got[0, int(n)], q - p) for n, p, q in zip(names, cuts[:-1], cuts[1:], strict=True)]) if len(names) else np.zeros(0, bool)
-            dup = np.zeros(len(at), bool)
-            dup[order] = np.repeat(good, np.diff(np.append(first, len(sa))))
+            got = {(kind, by): blob for _, by, kind, blob in x.opened(told.column("blob").to_pylist())}
+            n = max(len(hashes) - self.block + 1, 0)
+            hit, common = (x.flags_of(b, n) for b in x.parted(next(v for (k, _), v in got.items() if k)))
+            sent, first, count = self.stretches(raw, hashes, starts, hit, common)
+            mask = np.zeros(len(first), np.uint32)
+            for b, held in sent.items():
+                for m, (_, places) in zip(np.frombuffer(got[0, b], "<u4").tolist(), held.values(), strict=True):
+                    if m:
+                        mask[places] = m
             edge = np.zeros(len(hashes) + 1, np.int64)
-            np.add.at(edge, at[dup], 1)
-            np.add.at(edge, at[dup] + self.window, -1)
+            for bit in range(self.window - self.block + 1):
+                at = first[(mask >> np.uint32(bit)) & np.uint32(1) > 0] + bit
+                edge[at] += 1  # with one bit no window is met twice
+                edge[at + self.window] -= 1
             covered = np.cumsum(edge[:-1]) > 0
         out = []
         for k, (i, text) in enumerate(zip(ids, raw, strict=True)):
@@ -233,15 +304,18 @@ class Plan:
         return pa.table([pa.array(c, t) if t != pa.string() or k == 3 else pa.array(c, pa.binary()).cast(pa.string()) for k, (c, t) in enumerate(zip(zip(*out, strict=True), kinds, strict=True))], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK, common: int = COMMON, fan: int = x.FAN) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept (the text that stays) of every document."""
     dealt, n = x.chunked(docs)
-    plan = Plan(window, block, x.hash_bits(docs), n)
-    asked = dealt.groupBy("chunk").applyInArrow(lambda t: plan.ask(t), schema_of(ASK))
-    found = asked.groupBy("bucket").applyInArrow(lambda t: plan.anchors(t), schema_of(ANSWER))
-    around = dealt.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(lambda a, b: plan.confirm_ask(a, b), schema_of(ASK))
-    told = around.groupBy("bucket").applyInArrow(lambda t: plan.confirm(t), schema_of(ANSWER))
-    return dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(lambda a, b: plan.cut(a, b), schema_of(OUT))
+    plan = Plan(window, block, x.hash_bits(docs), n, parts_for(docs, BUCKET_MB, MIN_BUCKETS), common, fan)
+    one = lambda step: lambda t: x.give_back(step)(t)
+    two = lambda step: lambda a, b: x.give_back(step)(a, b)
+    packet, at = schema_of(x.PACKET), dealt.groupBy("chunk")
+    asked = at.applyInArrow(one(plan.ask), packet)
+    found = plan.net.delivered(asked).applyInArrow(one(plan.anchors), packet)
+    around = at.cogroup(plan.net.delivered(found)).applyInArrow(two(plan.stretches_ask), packet)
+    told = plan.net.delivered(around).applyInArrow(one(plan.extend), packet)
+    return at.cogroup(plan.net.delivered(told)).applyInArrow(two(plan.cut), schema_of(OUT))
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,13 +4,13 @@ Every start of a `window`-byte string is tied to its anchor: the leftmost smalle
 the string. Equal strings have equal anchors, wherever they stand; consecutive starts with one anchor make a segment of up to
 window - gram + 1 starts. Chunks first exchange the anchors' hashes (see exchange.py); only segments whose anchor stands in two documents or more go on,
 each distinct content once per chunk with the smallest doc_id that has it there. In its bucket the suffixes of the distinct segments
-are sorted: multikey quicksort on 8-byte characters to a shallow depth, then a blind trie for every group that is still
+are sorted: dealt by their first 8 bytes, multikey quicksort (ternary partitions, all groups side by side) on 8-byte characters to a shallow depth, then a blind trie for every group that is still
 together orders its suffixes to the full window and tells equal ones. The smallest doc_id of equal suffixes decides for each chunk which
 of a segment's starts also start in a smaller document. An anchor that stands very often (a common line or pair of words) has its starts sent
 one by one, dealt by their content instead of by the anchor, so that no bucket grows with it.
 
 Defined results: null or empty text: 0 bytes, nothing removed. Shorter than a window: nothing removed. Null doc_id: smaller than any.
-Equal doc_ids: not smaller than each other. Repeated rows: a row each. Empty table: no rows. Very long texts are worked through by sections. Other columns are ignored.
+Equal doc_ids: not smaller than each other. Repeated rows: a row each, spread over the chunks. Empty table: no rows. Very long texts are worked through by sections. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillmere.llm import exchange as x
 from quillmere.llm.batches import documents, schema_of
+from quillmere.sources.scratch import parts_for
 
 WINDOW = 50
 GRAM = 20
@@ -31,6 +32,8 @@ SHALLOW = 24
 SECTION = 1 << 19
 #: A chunk's segments and contents take several times its size in a worker.
 CHUNK_MB = 3
+#: Input megabytes for each bucket, from MIN_BUCKETS buckets on.
+BUCKET_MB, MIN_BUCKETS = 6, 128
 PLACE_BITS = 20
 #: An anchor counts as common from so many occurrences on (by lower bounds of the chunks' counts).
 COMMON = 512
@@ -38,8 +41,6 @@ NO_ID = -(1 << 63)
 BASE = 0x9E3779B97F4A7C15
 _rng = np.random.default_rng(20_24)
 BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-ASK = "bucket int, chunk int, kind int, blob binary, lens binary, ids binary"
-ANSWER = "chunk int, kind int, bucket int, blob binary"
 OUT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
 
 
@@ -141,24 +142,45 @@ class BlindTrie:
 
 def multikey(text: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of the suffixes at `at` by their first `depth` bytes, and where groups of equal ones begin in it.
-    Multikey quicksort with 8-byte characters: a group is sorted by its next character, and only groups that stay together go on to the one after."""
+
+    Suffixes are dealt to groups by their first character; then multikey quicksort, on characters of 8 bytes. All groups are partitioned
+    side by side: each by its middle member's character into smaller, equal and larger, in place; equal ones go on to the next character,
+    and a group of one, or one that is equal to `depth`, is done."""
     char = np.ndarray(max(len(text) - 7, 0), ">u8", text, strides=(1,)) if len(text) > 7 else np.zeros(0, ">u8")
     order = np.argsort(char[at], kind="stable")
     key = char[at[order]]
     edge = np.append(True, key[1:] != key[:-1])
-    for d in range(8, depth, 8):
-        group = np.cumsum(edge)
-        alone = edge & np.append(edge[1:], True)
-        left = np.flatnonzero(~alone)
-        if not len(left):
-            break
-        own = order[left]
-        key = char[at[own] + d].astype(np.uint64)
-        again = np.lexsort((key, group[left]))
-        order[left] = own[again]
-        key, group = key[again], group[left]
-        edge[left] = np.append(True, (key[1:] != key[:-1]) | (group[1:] != group[:-1]))
-    return order, np.flatnonzero(edge)
+    place = np.flatnonzero(~(edge & np.append(edge[1:], True)))  # places in the order that belong to groups of two or more
+    deep = np.full(len(place), 8, np.int16)
+    while True:
+        on = deep < depth
+        place, deep = place[on], deep[on]
+        if not len(place):
+            return order, np.flatnonzero(edge)
+        own = order[place]
+        first = np.flatnonzero(edge[place])
+        size = np.diff(np.append(first, len(place)))
+        key = char[at[own] + deep].astype(np.uint64)
+        pivot = np.repeat(key[first + size // 2], size)
+        side = (key >= pivot).astype(np.int8) + (key > pivot)
+        # a stable counting sort of all groups by side: how many of each side stand before, in the group
+        totals = np.stack([np.add.reduceat(side == k, first, dtype=np.int64) for k in range(3)], 1)
+        begin = np.cumsum(totals, 1) - totals
+        group = np.repeat(np.arange(len(first)), size)
+        to = np.empty(len(place), np.int64)
+        for k in range(3):
+            mine = np.flatnonzero(side == k)
+            g = group[mine]
+            before = np.cumsum(totals[:, k]) - totals[:, k]
+            to[mine] = first[g] + begin[g, k] + np.arange(len(mine)) - before[g]
+        moved, sides = np.empty_like(own), np.empty_like(side)
+        moved[to], sides[to] = own, side
+        order[place] = moved
+        deep = deep + np.where(sides == 1, 8, 0).astype(np.int16)
+        new = np.append(True, (group[1:] != group[:-1]) | (sides[1:] != sides[:-1]))
+        edge[place] = new
+        left = ~(new & np.append(new[1:], True))
+        place, deep = place[left], deep[left]
 
 
 def deep_shallow(text: bytes, at: np.ndarray, window: int, shallow: int) -> tuple[np.ndarray, np.ndarray]:
@@ -199,21 +221,13 @@ def deep_shallow(text: bytes, at: np.ndarray, window: int, shallow: int) -> tupl
 # --- steps --------------------------------------------------------------------------------------------------------
 
 
-def rows(chunk: int, buckets, blobs: list[bytes], kind: int, lens: list | None = None, ids: list | None = None) -> pa.Table:
-    n = len(blobs)
-    none = [None] * n
-    return pa.table({"bucket": pa.array(buckets, pa.int32()), "chunk": pa.array([chunk] * n, pa.int32()), "kind": pa.array([kind] * n, pa.int32()), "blob": pa.array(blobs, pa.binary()), "lens": pa.array(lens or none, pa.binary()), "ids": pa.array(ids or none, pa.binary())})
-
-
-def answers(out: list[tuple]) -> pa.Table:
-    c = list(zip(*out, strict=True)) or [(), (), (), ()]
-    return pa.table({"chunk": pa.array(c[0], pa.int32()), "kind": pa.array(c[1], pa.int32()), "bucket": pa.array(c[2], pa.int32()), "blob": pa.array(c[3], pa.binary())})
-
-
 class Plan:
-    def __init__(self, window: int, gram: int, shallow: int, bits: int, buckets: int, common: int):
+    """The steps' functions; all lengths, the number of buckets and the network are fixed for a run."""
+
+    def __init__(self, window: int, gram: int, shallow: int, bits: int, buckets: int, common: int, chunks: int = 1, fan: int = x.FAN):
         if not 0 < gram <= window or window - gram + 1 > 32:
             raise ValueError("a segment must have 1 to 32 starts")
+        self.net = x.Network(chunks, buckets, fan)
         self.window, self.gram, self.shallow, self.bits, self.buckets, self.common = window, gram, shallow, bits, buckets, common
 
     def short(self, hashes: np.ndarray) -> np.ndarray:
@@ -226,7 +240,7 @@ class Plan:
         seg = Segments(Sections(x.texts(table)[1]), self.window, self.gram)
         h = self.short(seg.hash)
         if not len(h):
-            return rows(chunk, [], [], 0)
+            return self.net.packets([])
         order = np.lexsort((seg.doc, h))
         h, doc = h[order], seg.doc[order]
         first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
@@ -235,12 +249,12 @@ class Plan:
         times = np.diff(np.append(first, len(h)))
         v, flags = h[first], np.where(times < 32, n > 1, np.searchsorted([256], times, "right") + 2).astype(np.uint8)
         names, cuts = x.bucket_cuts(v, self.bits, self.buckets)
-        return rows(chunk, names, [x.packed(v[a:b], flags[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], 0)
+        return self.net.packets([(int(k), chunk, 0, x.packed(v[a:b], flags[a:b])) for k, a, b in zip(names, cuts[:-1], cuts[1:], strict=True)])
 
     def shared(self, table: pa.Table) -> pa.Table:
         """Step 2, in a bucket: for each chunk, its anchors that stand in another document too; flag 1: common."""
-        chunks = table.column("chunk").to_pylist()
-        sets = [x.unpacked(b) for b in table.column("blob").to_pylist()]
+        asked = x.opened(table.column("blob").to_pylist())
+        sets = [x.unpacked(m[3]) for m in asked]
         v = np.concatenate([s[0] for s in sets])
         order = np.argsort(v, kind="stable")
         v = v[order]
@@ -251,13 +265,13 @@ class Plan:
         good, common = np.zeros(len(v), bool), np.zeros(len(v), np.uint8)
         good[order] = np.repeat(total > 1, size)
         common[order] = np.repeat(total >= self.common, size)
-        out, at, bucket = [], 0, table.column("bucket")[0].as_py()
-        for c, (own, _) in zip(chunks, sets, strict=True):
+        out, at = [], 0
+        for (to, chunk, _, _), (own, _) in zip(asked, sets, strict=True):
             mine = good[at : at + len(own)]
             if mine.any():
-                out.append((c, 0, bucket, x.packed(own[mine], common[at : at + len(own)][mine])))
+                out.append((chunk, to, 0, x.packed(own[mine], common[at : at + len(own)][mine])))
             at += len(own)
-        return answers(out)
+        return self.net.packets(out)
 
     def parts(self, s: Sections, seg: Segments, ids: list, hit: np.ndarray, common: np.ndarray) -> tuple[dict, np.ndarray, np.ndarray, np.ndarray]:
         """What a chunk sends: per bucket the distinct contents with their smallest doc_id, in an order that the rows alone fix. Then for each piece (a segment
@@ -295,11 +309,11 @@ class Plan:
         """Step 3: the contents around a chunk's shared anchors; and, for its own later use, which anchors are shared and common."""
         chunk = docs.column("chunk")[0].as_py()
         if not hits.num_rows:
-            return rows(chunk, [], [], 0)
+            return self.net.packets([])
         ids, raw = x.texts(docs)
         s = Sections(raw)
         seg = Segments(s, self.window, self.gram)
-        got = [x.unpacked(b) for b in hits.column("blob").to_pylist()]
+        got = [x.unpacked(m[3]) for m in x.opened(hits.column("blob").to_pylist())]
         wanted, flags = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
         order = np.argsort(wanted)
         wanted, flags = wanted[order], flags[order]
@@ -308,28 +322,28 @@ class Plan:
         hit = wanted[place] == h
         common = hit & (flags[place] > 0)
         sent = self.parts(s, seg, ids, hit, common)[0]
-        names = sorted(sent)
-        blobs = [b"".join(sent[b]) for b in names]
-        lens = [bytes(len(t) - self.window + 1 for t in sent[b]) for b in names]
-        low = [np.array([v[0] for v in sent[b].values()], "<i8").tobytes() for b in names]
-        own = rows(chunk, [chunk % self.buckets], [x.bits_of(hit)], 1, [x.bits_of(common)])
-        return pa.concat_tables([rows(chunk, names, blobs, 0, lens, low), own])
+        out = [(chunk % self.buckets, chunk, 1, x.joined(x.bits_of(hit), x.bits_of(common)))]
+        for b, held in sorted(sent.items()):
+            lens = bytes(len(t) - self.window + 1 for t in held)
+            out.append((b, chunk, 0, x.joined(b"".join(held), lens, np.array([v[0] for v in held.values()], "<i8").tobytes())))
+        return self.net.packets(out)
 
     def decide(self, table: pa.Table) -> pa.Table:
         """Step 4, in a bucket: sort the suffixes of all distinct contents; for each chunk's contents, a bit per start that stands in a smaller document."""
         out, asked = [], []
         known: dict[bytes, int] = {}
         w = self.window - 1
-        for c, kind, bucket, blob, lens, low in zip(*(table.column(k).to_pylist() for k in ("chunk", "kind", "bucket", "blob", "lens", "ids")), strict=True):
+        for to, chunk, kind, told in x.opened(table.column("blob").to_pylist()):
             if kind:
-                out.append((c, 1, bucket, len(blob).to_bytes(4, "little") + blob + lens))
+                out.append((chunk, to, 1, told))
                 continue
+            blob, lens, low = x.parted(told)
             names, at = [], 0
             for n in lens:
                 t = blob[at : at + n + w]
                 at += n + w
                 names.append(known.setdefault(t, len(known)))
-            asked.append((c, bucket, np.array(names), np.frombuffer(lens, np.uint8).astype(np.int64), np.frombuffer(low, "<i8")))
+            asked.append((chunk, to, np.array(names), np.frombuffer(lens, np.uint8).astype(np.int64), np.frombuffer(low, "<i8")))
         if asked:
             text = b"".join(known)
             size = np.array([len(t) for t in known])
@@ -346,13 +360,13 @@ class Plan:
             np.minimum.at(least, label, of[order])
             smallest = np.empty(len(order), np.int64)
             smallest[order] = least[label]
-            for c, bucket, names, n, low in asked:
+            for chunk, to, names, n, low in asked:
                 ahead = np.cumsum(n) - n
                 step = np.arange(int(n.sum())) - np.repeat(ahead, n)
                 smaller = smallest[np.repeat(base[names], n) + step] < np.repeat(low, n)
                 mask = np.bitwise_or.reduceat(smaller.astype(np.uint32) << step.astype(np.uint32), ahead)
-                out.append((c, 0, bucket, mask.astype("<u4").tobytes()))
-        return answers(out)
+                out.append((chunk, to, 0, mask.astype("<u4").tobytes()))
+        return self.net.packets(out)
 
     def cut(self, docs: pa.Table, told: pa.Table) -> pa.Table:
         """Step 5: remove the bytes that repeated strings cover."""
@@ -361,10 +375,8 @@ class Plan:
         if told.num_rows:
             s = Sections(raw)
             seg = Segments(s, self.window, self.gram)
-            got = {(k, b): v for k, b, v in zip(*(told.column(c).to_pylist() for c in ("kind", "bucket", "blob")), strict=True)}
-            own = next(v for (k, _), v in got.items() if k)
-            n = int.from_bytes(own[:4], "little")
-            hit, common = x.flags_of(own[4 : 4 + n], len(seg.hash)), x.flags_of(own[4 + n :], len(seg.hash))
+            got = {(kind, by): blob for _, by, kind, blob in x.opened(told.column("blob").to_pylist())}
+            hit, common = (x.flags_of(b, len(seg.hash)) for b in x.parted(next(v for (k, _), v in got.items() if k)))
             sent, first, count, doc = self.parts(s, seg, ids, hit, common)
             mask = np.zeros(len(first), np.uint32)
             full = ((np.uint64(1) << count.astype(np.uint64)) - np.uint64(1)).astype(np.uint32)
@@ -396,17 +408,18 @@ class Plan:
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shallow: int = SHALLOW, common: int = COMMON) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shallow: int = SHALLOW, common: int = COMMON, fan: int = x.FAN) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that stay) of every document."""
     dealt, n = x.chunked(docs, CHUNK_MB)
-    plan = Plan(window, gram, shallow, x.hash_bits(docs), 2 * n, common)
+    plan = Plan(window, gram, shallow, x.hash_bits(docs), parts_for(docs, BUCKET_MB, MIN_BUCKETS), common, n, fan)
     one = lambda step: lambda t: x.give_back(step)(t)
     two = lambda step: lambda a, b: x.give_back(step)(a, b)
-    asked = dealt.groupBy("chunk").applyInArrow(one(plan.ask), schema_of(ASK))
-    found = asked.groupBy("bucket").applyInArrow(one(plan.shared), schema_of(ANSWER))
-    around = dealt.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(two(plan.segments_ask), schema_of(ASK))
-    told = around.groupBy("bucket").applyInArrow(one(plan.decide), schema_of(ANSWER))
-    return dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(two(plan.cut), schema_of(OUT))
+    packet, at = schema_of(x.PACKET), dealt.groupBy("chunk")
+    asked = at.applyInArrow(one(plan.ask), packet)
+    found = plan.net.delivered(asked).applyInArrow(one(plan.shared), packet)
+    around = at.cogroup(plan.net.delivered(found)).applyInArrow(two(plan.segments_ask), packet)
+    told = plan.net.delivered(around).applyInArrow(one(plan.decide), packet)
+    return at.cogroup(plan.net.delivered(told)).applyInArrow(two(plan.cut), schema_of(OUT))
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,6 +93,85 @@ def test_byte_windows(spark, window, gram, common):
     assert sorted((tuple(r)[:5] for r in got), key=repr) == brute_bytes(docs, window)
 
 
+@pytest.mark.parametrize("fan", [3, 6])
+def test_packets_by_hops(spark, fan):
+    """With few packets a group, messages take several hops and the rows stay the same."""
+    docs = corpus(fan)
+    got = substrings.remove_repeats(frame(spark, docs), 5, 3, 4, fan).collect()
+    assert sorted((tuple(r)[:4] for r in got), key=repr) == brute_words(docs, 5)
+    got = suffixes.remove_repeats(frame(spark, docs), 9, 4, 8, 5, fan).collect()
+    assert sorted((tuple(r)[:5] for r in got), key=repr) == brute_bytes(docs, 9)
+
+
+def test_packets_are_bounded_for_each_sender_and_hop():
+    net = exchange.Network(500, 700, 8)
+    assert net.levels == 4
+    sent = [(to, by, 0, f"{by}>{to}".encode()) for by in range(0, 500, 3) for to in range(0, 700, 5)]
+    rows: dict = {}
+    for by in range(0, 500, 3):
+        own = net.packets([m for m in sent if m[1] == by])
+        assert own.num_rows <= 8
+        for goal, origin, blob in zip(*(own.column(c).to_pylist() for c in ("goal", "origin", "blob")), strict=True):
+            rows.setdefault((goal, origin), []).append(blob)
+    for level in range(1, net.levels):
+        after: dict = {}
+        for blobs in rows.values():
+            own = net.packets(exchange.opened(blobs), level)
+            assert own.num_rows <= 8
+            for goal, origin, blob in zip(*(own.column(c).to_pylist() for c in ("goal", "origin", "blob")), strict=True):
+                after.setdefault((goal, origin), []).append(blob)
+        rows = after
+    got = {}
+    for (goal, _), blobs in rows.items():
+        for m in exchange.opened(blobs):
+            assert m[0] == goal
+            got[m[:2]] = m[3]
+    assert got == {m[:2]: m[3] for m in sent}
+
+
+def test_many_equal_rows_are_spread(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    docs = [(1, text)] * 400 + [(2, "x " + text), (3, "a b")]
+    rows, n = exchange.chunked(frame(spark, docs))
+    assert rows.filter("doc_id = 1").select("chunk").distinct().count() > n // 2
+    got = substrings.remove_repeats(frame(spark, docs), common=50).collect()
+    assert sorted((tuple(r)[:4] for r in got), key=repr) == brute_words(docs, 35)
+    got = suffixes.remove_repeats(frame(spark, docs)).collect()
+    assert sorted((tuple(r)[:5] for r in got), key=repr) == brute_bytes(docs, 50)
+
+
+def test_sections_meet(spark, monkeypatch):
+    """Texts longer than a section, in words and in bytes; a window may lie over the seam."""
+    r = random.Random(4)
+    long = [" ".join(r.choice(WORDS) for _ in range(700)) for _ in range(3)]
+    docs = [(k, t) for k, t in enumerate(long)] + [(9, "p " + long[0][300:900] + " q"), (10, None)]
+    rows = exchange.texts(frame(spark, docs).toArrow())[1]
+    for part, plan in ((substrings, substrings.Plan(5, 3, 40, 4)), (suffixes, suffixes.Plan(9, 4, 8, 40, 4, 100))):
+        told = []
+        for size in (1 << 20, 64):
+            monkeypatch.setattr(part, "SECTION", size)
+            if part is substrings:
+                hashes, starts = substrings.word_hashes(rows)
+                h, ok = plan.probes(hashes, starts)
+                hit = ok & (h % np.uint64(3) == 0)
+                told.append({int(a) + k: int(p) for a, n, p in zip(*plan.tied(h, hit, starts, len(hashes)), strict=True) for k in range(n)})
+            else:
+                seg = suffixes.Segments(suffixes.Sections(rows), 9, 4)
+                told.append({int(a) + k: int(h) for a, n, h in zip(seg.first, seg.count, seg.hash, strict=True) for k in range(n)})
+        assert told[0] == told[1]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.binary(min_size=30, max_size=300), st.sampled_from([8, 16, 24]))
+def test_multikey_quicksort(data, depth):
+    text = bytes(97 + b % 3 for b in data)
+    at = np.arange(len(text) - depth + 1)
+    order, first = suffixes.multikey(np.frombuffer(text + b"\0" * 8, np.uint8), at, depth)
+    keys = [text[k : k + depth] for k in order]
+    assert keys == sorted(keys)
+    assert first.tolist() == [k for k in range(len(keys)) if not k or keys[k] != keys[k - 1]]
+
+
 def test_the_smallest_document_stays_whole(spark):
     passage = "".join(chr(97 + k * 7 % 26) for k in range(80))
     docs = [(k, f"{k}{passage}{k}") for k in (3, 1, 2)]
