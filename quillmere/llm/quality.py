@@ -1,10 +1,12 @@
 """Quality rules by line sequence labelling.
 
-A linear-chain conditional random field with two labels (content, boilerplate) is trained here, by gradient ascent on the exact
-conditional likelihood, on a bounded sample of labelled documents: the `sample` documents with the lowest hash of their id in
-each quality class, and of each at most `sample_lines` lines. A line's training label is its document's; which lines of a poor document are the
-poor ones is left to the features. Viterbi decoding labels the lines of every whole document; the share of its
-words in content lines decides.
+A linear-chain conditional random field with two labels (content, boilerplate) is trained here on a bounded sample of labelled documents: the
+`sample` documents with the lowest hash of their id in each quality class, and of each its first `sample_lines` lines within its first
+`sample_chars` characters. Labels are known for documents alone, so those of lines are inferred (hard EM): the lines of a good document are
+content; of a poor one at least one is boilerplate, and which ones is what the field says at the time. The first field has no transitions and
+takes all lines of a poor document for boilerplate; each further one is trained, by gradient ascent on the exact conditional likelihood, on the lines
+as the one before labels them. Transitions have a prior of their own, as chains of one label would otherwise forbid any change. Viterbi decoding labels the
+lines of every whole document; the share of its words in content lines decides.
 
 Defined results: null or empty text: no words, base_failed. Null doc_id: kept. Repeated rows: a row each. Empty table:
 no rows. No usable labels (missing class or empty table): a field of fixed weights, FALLBACK. Other columns are ignored.
@@ -25,6 +27,10 @@ SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 SAMPLE = 1500
 SAMPLE_LINES = 60
+SAMPLE_CHARS = 40_000
+#: Fields trained after the first, and the weight of the prior on transitions against that on features.
+FIELDS = 3
+STEP_RIDGE = 10.0
 CONTENT_SHARE = 0.5
 N_FEATURES = 11
 #: Weights where nothing can be learnt: symbols, capitals and repeats speak against content.
@@ -96,55 +102,93 @@ def viterbi(scores: np.ndarray, step: np.ndarray) -> list[int]:
     return out[::-1]
 
 
-def train(sequences: list[np.ndarray], labels: list[int], rounds: int = 150, rate: float = 0.15, ridge: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """Weights (features of content against boilerplate; transitions) by Adam on the log-likelihood of the label chains."""
-    m, most = len(sequences), max(map(len, sequences))
-    x = np.zeros((m, most, N_FEATURES))
-    there = np.zeros((m, most), bool)
-    for k, s in enumerate(sequences):
-        x[k, : len(s)], there[k, : len(s)] = s, True
-    y = np.array(labels)
-    weight = np.where(y == 0, 0.5 / max((y == 0).sum(), 1), 0.5 / max((y == 1).sum(), 1))  # both classes count alike
-    size = there.sum(1)
-    w, step = np.zeros(N_FEATURES), np.zeros((2, 2))
-    params, first, second = np.concatenate([w, step.ravel()]), 0.0, 0.0
-    pairs = there[:, 1:]
-    for t in range(1, rounds + 1):
-        w, step = params[:N_FEATURES], params[N_FEATURES:].reshape(2, 2)
-        e = np.stack([x @ w, np.zeros((m, most))], -1)
-        alpha = np.zeros((m, most, 2))
-        alpha[:, 0] = e[:, 0]
-        for k in range(1, most):
-            new = np.logaddexp(alpha[:, k - 1, :1] + step[0], alpha[:, k - 1, 1:] + step[1]) + e[:, k]
-            alpha[:, k] = np.where(there[:, k, None], new, alpha[:, k - 1])
-        total = np.logaddexp(alpha[:, -1, 0], alpha[:, -1, 1])
-        beta = np.zeros((m, most, 2))
-        for k in range(most - 2, -1, -1):
-            nxt = e[:, k + 1] + beta[:, k + 1]
-            new = np.logaddexp(step[:, 0] + nxt[:, :1], step[:, 1] + nxt[:, 1:])
-            beta[:, k] = np.where(there[:, k + 1, None], new, 0.0)
-        p0 = np.exp(alpha[..., 0] + beta[..., 0] - total[:, None])
-        want = (y == 0)[:, None].astype(float)
-        per = weight / size
-        gw = np.einsum("ml,mlf->f", np.where(there, want - p0, 0.0) * per[:, None], x)
-        joint = np.exp(alpha[:, :-1, :, None] + step + (e + beta)[:, 1:, None, :] - total[:, None, None, None]) * (pairs * per[:, None])[..., None, None]
-        gs = -joint.sum((0, 1))
-        kept = (pairs.sum(1) * per)[:, None]
-        gs[0, 0] += (kept[y == 0]).sum()
-        gs[1, 1] += (kept[y == 1]).sum()
-        g = np.concatenate([gw, gs.ravel()]) - ridge * params
-        first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
-        params = params + rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
+class Chains:
+    """Line features of the training documents, all first lines, then all second ones, and so on; the longest documents come first, so that those
+    with a line k are the first count[k]."""
+
+    def __init__(self, sequences: list[np.ndarray], poor: np.ndarray):
+        order = np.argsort([-len(s) for s in sequences], kind="stable")
+        self.poor = poor[order]
+        size = np.array([len(sequences[k]) for k in order])
+        self.count = [int((size > k).sum()) for k in range(int(size.max()))]
+        self.begin = np.append(0, np.cumsum(self.count))
+        self.doc = np.concatenate([np.arange(n) for n in self.count])
+        self.x = np.zeros((int(size.sum()), N_FEATURES))
+        for d, k in enumerate(order):
+            self.x[self.begin[: size[d]] + d] = sequences[k]
+        # both classes count alike, and documents within a class
+        self.weight = np.where(self.poor, 0.5 / max(self.poor.sum(), 1), 0.5 / max((~self.poor).sum(), 1)) / size
+        self.size = size
+        self.after = np.concatenate([np.arange(n) + self.begin[k + 1] for k, n in enumerate(self.count[1:])]) if len(self.count) > 1 else np.zeros(0, np.int64)
+        self.before = np.concatenate([np.arange(n) + self.begin[k] for k, n in enumerate(self.count[1:])]) if len(self.count) > 1 else np.zeros(0, np.int64)
+
+    def marginals(self, w: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Chance of content for each line, and of each pair of labels for each line and the next, by forward and backward sums."""
+        e = np.stack([self.x @ w, np.zeros(len(self.x))], -1)
+        alpha, beta = e.copy(), np.zeros_like(e)
+        at = lambda k: slice(self.begin[k], self.begin[k + 1])
+        for k in range(1, len(self.count)):
+            own, last = alpha[at(k)], alpha[at(k - 1)][: self.count[k]]
+            own += np.logaddexp(last[:, :1] + step[0], last[:, 1:] + step[1])
+        ends = alpha[self.begin[self.size - 1] + np.arange(len(self.size))]
+        total = np.logaddexp(ends[:, 0], ends[:, 1])[self.doc]
+        for k in range(len(self.count) - 2, -1, -1):
+            nxt = e[at(k + 1)] + beta[at(k + 1)]
+            beta[at(k)][: self.count[k + 1]] = np.logaddexp(step[:, 0] + nxt[:, :1], step[:, 1] + nxt[:, 1:])
+        content = np.exp(alpha[:, 0] + beta[:, 0] - total)
+        return content, np.exp(alpha[self.before][:, :, None] + step + (e + beta)[self.after][:, None, :] - total[self.before][:, None, None])
+
+    def ascend(self, params: np.ndarray, labels: np.ndarray, rounds: int, rate: float, ridge: float, chained: bool) -> np.ndarray:
+        """Weights (features of content against boilerplate; transitions) by Adam on the log-likelihood of the labels (1: boilerplate)."""
+        per = self.weight[self.doc]
+        want = (labels == 0).astype(float)
+        pair = np.zeros(4)
+        np.add.at(pair, 2 * labels[self.before] + labels[self.after], per[self.before])
+        prior = ridge * np.append(np.ones(N_FEATURES), np.full(4, STEP_RIDGE))
+        first, second = 0.0, 0.0
+        for t in range(1, rounds + 1):
+            w, step = params[:N_FEATURES], params[N_FEATURES:].reshape(2, 2)
+            if chained:
+                content, joint = self.marginals(w, step)
+                gs = pair - (per[self.before] @ joint.reshape(-1, 4))
+            else:
+                content, gs = 1 / (1 + np.exp(-(self.x @ w))), np.zeros(4)
+            g = np.append(((want - content) * per) @ self.x, gs) - prior * params
+            first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
+            params = params + rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
+        return params
+
+    def inferred(self, params: np.ndarray) -> np.ndarray:
+        """The lines' labels under the field: those of good documents content, of poor ones Viterbi's, one boilerplate line at least."""
+        labels = np.zeros(len(self.x), np.int64)
+        for d in np.flatnonzero(self.poor):
+            lines = self.begin[: self.size[d]] + d
+            scores = self.x[lines] @ params[:N_FEATURES]
+            own = viterbi(scores, params[N_FEATURES:].reshape(2, 2))
+            if not any(own):
+                own[int(scores.argmin())] = 1
+            labels[lines] = own
+        return labels
+
+
+def train(sequences: list[np.ndarray], labels: list[int], rounds: int = 60, rate: float = 0.15, ridge: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+    """The weights of features (content against boilerplate) and of transitions, from documents' lines and labels (1: poor)."""
+    chains = Chains(sequences, np.array(labels) == 1)
+    params = chains.ascend(np.zeros(N_FEATURES + 4), chains.poor[chains.doc].astype(np.int64), 2 * rounds, rate, ridge, False)
+    for _ in range(FIELDS):
+        params = chains.ascend(params, chains.inferred(params), rounds, rate, ridge, True)
     return params[:N_FEATURES], params[N_FEATURES:].reshape(2, 2)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_lines: int = SAMPLE_LINES) -> tuple[np.ndarray, np.ndarray]:
-    """Train on at most 2 * sample labelled documents, taken to the driver with at most sample_lines lines each."""
-    marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).dropna().filter("quality in (0, 1)")
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_lines: int = SAMPLE_LINES, sample_chars: int = SAMPLE_CHARS) -> tuple[np.ndarray, np.ndarray]:
+    """Train on at most 2 * sample labelled documents, taken to the driver with at most sample_lines lines and sample_chars characters each. Where
+    doc_ids repeat, hashes of id and text choose among the rows, so that the model is the same in every run."""
+    marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).dropna().filter("quality in (0, 1)").distinct()
     h = F.xxhash64("doc_id", "quality")
     chosen = marked.filter("quality = 0").orderBy(h, "doc_id").limit(sample).unionByName(marked.filter("quality = 1").orderBy(h, "doc_id").limit(sample))
-    cut = F.array_join(F.slice(F.split("text", "\n"), 1, sample_lines), "\n")
-    rows = id_text(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", F.substring(cut, 1, 40_000).alias("text")).limit(2 * sample).collect()  # bounded by the sample
+    cut = F.substring(F.array_join(F.slice(F.split("text", "\n"), 1, sample_lines), "\n"), 1, sample_chars)
+    met = id_text(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", cut.alias("text"))  # chosen is bounded by the sample
+    rows = met.orderBy(F.xxhash64("doc_id", "quality", "text"), "doc_id", "quality", "text").limit(2 * sample).collect()
     rows.sort(key=lambda r: (r.doc_id, r.quality, r.text or ""))
     sequences, wanted = [], []
     for r in rows:
@@ -168,7 +212,7 @@ def repeated_words(words: list[str]) -> int:
     return n
 
 
-RULES = "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean, content_share double"
+RULES = "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean, content_share double, n_lines bigint, n_content_lines bigint"
 
 
 def rules(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], share: float = CONTENT_SHARE) -> DataFrame:
@@ -188,11 +232,11 @@ def judge(text: str, weights: np.ndarray, step: np.ndarray, share: float) -> tup
     n = len(words)
     repeats = repeated_words(words)
     failed = n < 50 or 100 * repeats > 50 * n
-    content = 0.0
+    content, labels = 0.0, []
     if x:
         labels = viterbi(np.array(x) @ weights, step)
         content = sum(s for s, y in zip(sizes, labels, strict=True) if y == 0) / n
-    return n, len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), dups, repeats, failed, not failed and content >= share, content
+    return n, len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), dups, repeats, failed, not failed and content >= share, content, len(labels), labels.count(0)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
