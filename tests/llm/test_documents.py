@@ -62,6 +62,45 @@ def test_trained_field_tells_held_out_documents(spark):
     assert quality.fit(frame(spark, rows), labels.filter("quality = 1")) is quality.FALLBACK
 
 
+def test_lines_of_mixed_documents_are_labelled(spark):
+    """Only documents have labels; in the held-out ones, good lines stand among poor ones."""
+    r = random.Random(6)
+    rows = [(k, sentences(r, 8) if k % 3 else sentences(r, 2) + "\n" + junk(r, 4) if k % 2 else junk(r, 6)) for k in range(240)]
+    labels = spark.createDataFrame([(k, int(k % 3 > 0)) for k in range(240)], "doc_id long, quality int")
+    weights, step = quality.fit(frame(spark, rows), labels)
+    text = "\n".join([sentences(r, 3), junk(r, 4), sentences(r, 3), junk(r, 2)])
+    want = [0] * 3 + [1] * 4 + [0] * 3 + [1] * 2
+    got = quality.viterbi(np.array(quality.measured(text)[0]) @ weights, step)
+    assert sum(a == b for a, b in zip(got, want, strict=True)) >= 11
+    row = quality.rules(frame(spark, [(1, text), (2, sentences(r, 12)), (3, junk(r, 8))]), (weights, step)).orderBy("doc_id").collect()
+    assert 0 < row[0].content_share < 1 and 5 <= row[0].n_content_lines <= 7 and row[0].n_lines == 12
+    assert (row[1].content_share, row[2].content_share) == (1.0, 0.0)
+
+
+def test_marginals_equal_all_paths():
+    rng = np.random.default_rng(1)
+    chains = quality.Chains([rng.random((n, quality.N_FEATURES)) for n in (2, 4, 1)], np.array([True, False, True]))
+    w, step = rng.normal(size=quality.N_FEATURES), rng.normal(size=(2, 2))
+    content, joint = chains.marginals(w, step)
+    for d, n in enumerate(chains.size):
+        lines = chains.begin[:n] + d
+        scores = chains.x[lines] @ w
+        paths = [[p >> k & 1 for k in range(n)] for p in range(1 << n)]
+        mass = np.exp([sum(s for s, v in zip(scores, y, strict=True) if v == 0) + sum(step[a, b] for a, b in zip(y, y[1:], strict=False)) for y in paths])
+        for k, line in enumerate(lines):
+            assert content[line] == pytest.approx(sum(m for m, y in zip(mass, paths, strict=True) if y[k] == 0) / mass.sum())
+            for j in np.flatnonzero(chains.before == line):
+                assert joint[j, 0, 1] == pytest.approx(sum(m for m, y in zip(mass, paths, strict=True) if y[k : k + 2] == [0, 1]) / mass.sum())
+
+
+def test_training_rows_do_not_depend_on_the_run(spark):
+    r = random.Random(3)
+    rows = [(k % 20, sentences(r, 4) if k % 3 else junk(r, 4)) for k in range(120)]
+    labels = spark.createDataFrame([(k, int(k % 3 > 0)) for k in range(20)] * 2, "doc_id long, quality int")
+    one, two = (quality.fit(frame(spark, own), labels, 5) for own in (rows, rows[::-1]))
+    assert (one[0] == two[0]).all() and (one[1] == two[1]).all()
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(0)
     for _ in range(20):
@@ -98,6 +137,43 @@ def test_licenses_equal_their_sql(spark):
     assert licenses.scan(frame(spark, [])).count() == 0
 
 
+def wrapped(text, width=30):
+    out, line = [], "#"
+    for w in text.split():
+        if len(line) + len(w) > width:
+            out.append(line)
+            line = "#"
+        line += " " + w
+    return "\n".join([*out, line])
+
+
+def test_licenses_over_lines_and_kin(spark):
+    """Whole notices wrapped over short lines are found; a text does not get the label of a kin whose own word it lacks."""
+    rows = [(k, "some words before\n" + wrapped(text.upper()) + "\nand after " * 3) for k, (_, text, _) in enumerate(licenses.TEMPLATES)]
+    got = {r.doc_id: r.labels.split(",") for r in licenses.scan(frame(spark, rows)).collect()}
+    for k, (label, text, _) in enumerate(licenses.TEMPLATES):
+        assert label in got[k]
+        for other, word in (("lgpl", "lesser"), ("agpl", "affero"), ("mit", "mit"), ("apache", "apache")):
+            if label != other and word not in text.split():
+                assert other not in got[k], (k, got[k])
+    other = licenses.scan(frame(spark, [(1, "released under the gnu license"), (2, "one two three four")]), spark.createDataFrame([("own", "one two three four five", None), (None, "x", "y")], "label string, text string, must string")).collect()
+    assert {r.doc_id: (r.labels, r.score) for r in other} == {1: ("", 0.0), 2: ("own", 0.8)}
+
+
+def test_license_filters_reject(spark):
+    """The positional filter drops pairs that pass the length filter, and none that reach the threshold."""
+    r = random.Random(5)
+    vocabulary = [f"t{k}" for k in range(40)]
+    templates = [(f"l{k}", " ".join(r.sample(vocabulary, 12)), "") for k in range(20)]
+    rows = [(k, " ".join(r.choice([*vocabulary, "x"]) for _ in range(60))) for k in range(60)]
+    index = licenses.Index(spark, templates, {t: r.randint(1, 90) for t in vocabulary}, 0.8)
+    own = spark.createDataFrame([(k, (k,), t.split()) for k, t in rows], "row long, head struct<doc_id: long>, words array<string>")
+    near = licenses.met(own, index).filter("label is not null").withColumn("share", F.size(F.array_intersect("known", "tokens")) / F.size("tokens"))
+    far = near.filter("length_ok and not position_ok")
+    assert far.count() > 0 and far.filter("share >= 0.8").count() == 0
+    assert near.filter("not length_ok and share >= 0.8").count() == 0
+
+
 def test_license_plan_has_no_python(spark):
     plan = licenses.scan(frame(spark, LICENSE_ROWS))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
