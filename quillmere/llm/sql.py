@@ -29,16 +29,18 @@ cut AS (SELECT doc_id, sum(b - a + 1) AS n_removed, count(*) AS n_spans, max(b)
 SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
   sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM h LEFT JOIN cut USING (doc_id)"""
 
-#: Occurrences of the items' windows.
+#: Occurrences of the items' windows; containment of an item's text: its distinct windows that start within as many words as it has.
 BENCHMARK = f"""
 WITH dw AS (SELECT doc_id, {FOLDED} AS t FROM documents),
-iw AS (SELECT CAST(item_id AS VARCHAR) AS item, {FOLDED} AS t FROM benchmark WHERE item_id IS NOT NULL),
-win AS (SELECT DISTINCT item, array_to_string(t[i : i + 7], ' ') AS s, least(len(t), 8) AS n FROM iw, unnest(range(1, greatest(len(t) - 7, 1) + 1)) AS u(i) WHERE len(t) > 0),
+iw AS (SELECT row_number() OVER () AS no, CAST(item_id AS VARCHAR) AS item, {FOLDED} AS t FROM benchmark WHERE item_id IS NOT NULL),
+win AS (SELECT DISTINCT no, item, array_to_string(t[i : i + 7], ' ') AS s, least(len(t), 8) AS n, greatest(len(t) - 7, 1) AS span FROM iw, unnest(range(1, greatest(len(t) - 7, 1) + 1)) AS u(i) WHERE len(t) > 0),
 occ AS (SELECT doc_id, i, n, array_to_string(t[i : i + n - 1], ' ') AS s FROM dw, (SELECT DISTINCT n FROM win), unnest(range(1, len(t) - n + 2)) AS u(i)),
-hit AS (SELECT doc_id, i, n, item FROM occ JOIN win USING (s, n)),
+hit AS (SELECT doc_id, i, n, s, item, no, span FROM occ JOIN win USING (s, n)),
+total AS (SELECT no, count(*) AS total FROM win GROUP BY no),
+best AS (SELECT doc_id, max(c / total) AS containment FROM (SELECT a.doc_id, a.no, a.i, count(DISTINCT b.s) AS c FROM hit a JOIN hit b ON a.doc_id = b.doc_id AND a.no = b.no AND b.i >= a.i AND b.i < a.i + a.span GROUP BY ALL) JOIN total USING (no) GROUP BY doc_id),
 cov AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY doc_id),
 met AS (SELECT doc_id, list_sort(list(DISTINCT item)) AS items FROM hit GROUP BY doc_id)
 SELECT doc_id, CAST(len(t) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items,
-  sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(len(items), 0) >= 2 AS contaminated FROM dw LEFT JOIN cov USING (doc_id) LEFT JOIN met USING (doc_id)"""
+  sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(len(items), 0) >= 2 AS contaminated, coalesce(containment, 0.0) AS containment FROM dw LEFT JOIN cov USING (doc_id) LEFT JOIN met USING (doc_id) LEFT JOIN best USING (doc_id)"""
 
 SQL = {"op1_substring_dedup": SUBSTRINGS, "op4_suffix_dedup": SUFFIXES, "op7_license_scan": licenses_sql(), "op8_decontaminate": BENCHMARK}
