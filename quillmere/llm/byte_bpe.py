@@ -1,14 +1,15 @@
 """Byte-level BPE: overlapping chunk encoding, and decoding.
 
-Texts of over `chunk` characters are cut into overlapping chunks which are pre-tokenised in parallel, each as a row of
-its own. A chunk's first pre-token boundaries can be wrong, for it does not see what stands before; from the first
-boundary on that both it and the chunk before it have, twice in a row within their overlap, they are the same, and there the
-two are stitched. If an overlap shows no such place (one pre-token can be longer than any overlap), the stitch reads on
-from the last sure boundary, up to the next place where the chunks agree, over as much text as that takes. The pieces
-are then encoded, each pre-token apart, through a bounded cache. Decoding concatenates the raw bytes of the ids.
+Texts are cut into overlapping chunks of `chunk` characters, which are pre-tokenised in parallel, each as a row of its own. A chunk's first
+pre-token boundaries can be wrong, for it does not see what stands before; from the first boundary on that both it and the chunk
+before it have, twice in a row within their overlap, they are the same, and there the two are stitched. If an overlap shows no such
+place (one pre-token can be longer than any overlap), the stitch reads on from the last sure boundary, up to the next place where the
+chunks agree, over as much text as that takes. The pieces are then encoded, each pre-token apart, through a bounded cache. A text of one chunk has nothing to stitch and is
+encoded where it is read; chunks of others meet by the row's number. Decoding concatenates the raw bytes of the ids.
 
 Defined results: null or empty text: no ids; hashes of the empty string. Null doc_id: kept. Repeated rows: a row each.
-Empty table: no rows. Other columns are ignored.
+Empty table: no rows. Very long texts: cut before they are dealt out, so that no row holds a text more than once; one task stitches
+a text. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from quillmere.llm.batches import documents, id_text, map_docs, rows_out, schema_of
 
-CHUNK = 1 << 16
-OVERLAP = 1 << 10
+CHUNK = 1 << 13
+OVERLAP = 1 << 9
 #: Pre-tokens, and parts of texts, that a worker holds at most (about 60 MB together).
 CACHE_WORDS = 150_000
 _encoders: dict[str, Encoder] = {}
@@ -143,12 +144,11 @@ ROWS = "doc_id bigint, ids binary"
 
 
 def long_documents(long: DataFrame, ranks_path: str, pattern: str, chunk: int, overlap: int) -> DataFrame:
-    """ids of documents of over `chunk` characters. Rows of a document meet by a hash of the row, which tells equal doc_ids apart."""
-    keyed = long.withColumn("key", F.xxhash64("doc_id", "text", F.monotonically_increasing_id()))
-    step, ahead = F.lit(chunk), F.lit(chunk + overlap)
-    starts = F.sequence(F.lit(0), F.greatest(F.char_length("text") - overlap - 1, F.lit(0)), step)
-    rows = keyed.select("key", "doc_id", F.explode(starts).alias("at"), "text").select("key", "doc_id", "at", F.substring("text", F.col("at") + 1, ahead).alias("piece"))
-    rows = rows.repartition("key", "at")
+    """ids of documents of over `chunk` characters. key: the row's number, which with the doc_id tells equal rows apart."""
+    starts = F.sequence(F.lit(0), F.greatest(F.char_length("text") - overlap - 1, F.lit(0)), F.lit(chunk))
+    pieces = F.transform(starts, lambda a: F.struct(a.alias("at"), F.substring("text", a + 1, F.lit(chunk + overlap)).alias("piece")))
+    cut = long.select(F.monotonically_increasing_id().alias("key"), "doc_id", pieces.alias("pieces"))
+    rows = cut.select("key", "doc_id", F.inline("pieces")).repartition("key", "at")
 
     def ends(frames):
         enc = encoder(ranks_path, pattern)
@@ -165,7 +165,7 @@ def long_documents(long: DataFrame, ranks_path: str, pattern: str, chunk: int, o
         cuts = stitched(enc, text, [(a, list(e)) for a, e in zip(f["at"], f["ends"], strict=True)])
         return pd.DataFrame({"doc_id": f["doc_id"].iloc[:1].astype("Int64"), "ids": [enc.pieces([text[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)])]})
 
-    return marked.groupBy("key").applyInPandas(join, ROWS)
+    return marked.groupBy("key", "doc_id").applyInPandas(join, ROWS)
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
