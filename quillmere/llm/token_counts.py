@@ -5,20 +5,25 @@ every space. The token count of a text is the sum over its pre-tokens. Tier one
 frequent pre-token lengths, bounded by `table_words`; tier two is a cache in each worker, bounded by
 `CACHE_WORDS`, filled by the library in batches. Texts never leave the map side.
 
-The table comes from all documents: each task counts its pre-tokens in a bounded summary and hands on its
-`summary_words` most frequent, whose sums rank the table. The table only decides where a length is
-looked up, never what it is.
+The table comes from all documents: each task counts its pre-tokens in a bounded summary of its `summary_words` most frequent, one row
+of bytes. Summaries, not pre-tokens, are exchanged: groups of `MERGED` tasks merge theirs, and groups of MERGED groups; the driver merges
+what is left, a summary for MERGED * MERGED tasks, and the most frequent words make the table. It only decides where a length is looked up, never what it is.
 
 Defined results: null or empty text: 0 bytes, 0 tokens. Null doc_id: kept, as null. Repeated rows:
-one result row each. Empty table: no rows. Other columns are ignored.
+one result row each. Empty table: no rows. Very long texts: read whole, one at a time. Other columns are ignored.
+
+The cuts hold for models whose pieces have no "\\n" and no space but at their start. This is tested when a model is loaded; texts are given whole to the
+library where it does not hold.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +31,7 @@ from quillmere.llm.batches import documents, id_text, map_docs
 
 CACHE_WORDS = 400_000
 SUMMARY_HELD = 300_000
+MERGED = 256
 SPACE = "▁"
 BARE = "\n"  # marks a pre-token that has no space before it
 
@@ -37,7 +43,9 @@ def model(path: str):
     if path not in _models:
         import sentencepiece
 
-        _models[path] = sentencepiece.SentencePieceProcessor(model_file=path)
+        _models[path] = m = sentencepiece.SentencePieceProcessor(model_file=path)
+        pieces = (m.id_to_piece(k) for k in range(m.get_piece_size()))
+        m.cuttable = not any("\n" in p or SPACE in p.lstrip(SPACE) for p in pieces)
     return _models[path]
 
 
@@ -89,6 +97,8 @@ class Counts(dict):
 def count_text(text: str, counts: Counts) -> int:
     if not text:
         return 0
+    if not counts.m.cuttable:
+        return len(counts.m.encode(text))
     lines = text.split("\n")
     words = pretokens(lines[0], True) if lines[0] else [" "]
     for line in lines[1:]:
@@ -103,10 +113,18 @@ def count_text(text: str, counts: Counts) -> int:
     return n + len(lines) - 1
 
 
+def shortened(seen: Counter, most: int) -> bytes:
+    """The `most` most frequent words (ties: the smaller word) and their counts."""
+    top = sorted(seen.items(), key=lambda p: (-p[1], p[0]))[:most]
+    return json.dumps(top).encode()
+
+
 def frequent(docs: DataFrame, summary_words: int, table_words: int) -> list[str]:
-    """The table_words most frequent pre-tokens by the tasks' summaries. What the driver gets is bounded by table_words."""
+    """The table_words most frequent pre-tokens by the tasks' summaries."""
 
     def summary(rows: Iterator[tuple]) -> Iterator[tuple]:
+        from pyspark import TaskContext
+
         seen: Counter = Counter()
         for _, text in rows:
             for k, line in enumerate(text.split("\n")):
@@ -114,10 +132,22 @@ def frequent(docs: DataFrame, summary_words: int, table_words: int) -> list[str]
                     seen.update(pretokens(line, not k))
             if len(seen) > SUMMARY_HELD:
                 seen = Counter(dict(seen.most_common(SUMMARY_HELD // 2)))
-        yield from ((w, n) for w, n in seen.most_common(summary_words) if n > 1 and len(w) <= 64)
+        yield TaskContext.get().partitionId(), shortened(Counter({w: n for w, n in seen.items() if n > 1 and len(w) <= 64}), summary_words)
 
-    top = map_docs(docs, summary, "word string, n bigint", binary=False).groupBy("word").agg(F.sum("n").alias("n"))
-    return [r.word for r in top.orderBy(F.desc("n"), "word").limit(table_words).collect()]
+    def merge(table: pa.Table) -> pa.Table:
+        seen: Counter = Counter()
+        for blob in table.column("words").to_pylist():
+            seen.update(dict(json.loads(blob)))
+        return pa.table({"part": [table.column("part")[0].as_py()], "words": [shortened(seen, table_words)]}, schema=pa.schema([("part", pa.int64()), ("words", pa.binary())]))
+
+    one = "part bigint, words binary"
+    summaries = map_docs(docs, summary, one, binary=False)
+    for _ in range(2):
+        summaries = summaries.withColumn("part", F.floor(F.col("part") / MERGED)).groupBy("part").applyInArrow(lambda t: merge(t), one)
+    seen: Counter = Counter()
+    for r in summaries.toLocalIterator():
+        seen.update(dict(json.loads(bytes(r.words))))
+    return [w for w, _ in json.loads(shortened(seen, table_words))]
 
 
 def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, table_words: int = 32_768, summary_words: int = 4096) -> DataFrame:
