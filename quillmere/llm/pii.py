@@ -2,13 +2,14 @@
 
 Base rules find emails, IPv4 addresses, cards and phones, and always stay. High-recall generators then propose
 overlapping spans of further kinds: emails written out, phones without a plus sign, grouped cards, national ids,
-account numbers, IPv6 addresses and secrets. Boosted regression trees score each by its format and the words around it; they are trained here, on
+account numbers, IPv6 addresses and secrets (long tokens of any length, signed web tokens, key blocks, and what stands after a password's name).
+The lengths in their patterns are those of the formats: 64 characters before and 63 in each label after an email's "at". Boosted regression trees score each by its format and the words around it; they are trained here, on
 labelled sentences made by a seeded generator (`examples` of them), a third of which are held out to calibrate the scores (Platt scaling)
-and to choose each kind's threshold: the lowest with `precision` or more on the held-out spans. Candidates over it are taken by falling
-score where they overlap neither a base span nor one taken before.
+and to choose each kind's threshold: the lowest with `precision` or more on the held-out spans. Of candidates over it, those inside another of their
+kind are left out; the others are taken by falling score where they overlap neither a base span nor one taken before.
 
-Defined results: null or empty text: no spans. Null doc_id: kept. Repeated rows: a row each. Empty table: no rows. Other
-columns are ignored. Offsets are in code points, ends exclusive.
+Defined results: null or empty text: no spans. Null doc_id: kept. Repeated rows: a row each. Empty table: no rows. Ties in score: the
+span that starts first, then the longer. Very long texts: read whole, one at a time. Other columns are ignored. Offsets are in code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
 
@@ -92,6 +94,12 @@ GENERATORS = {
     ),
     "secret": re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}(?![A-Za-z0-9+/_-])"),
 }
+#: Further forms of secrets, each with a sign that any text with one shows (in lower case); group 1 is the span.
+SECRETS = (
+    (("-----begin",), re.compile(r"(-----BEGIN [A-Z0-9 ]+-----[A-Za-z0-9+/=\s]*-----END [A-Z0-9 ]+-----)")),
+    (("eyj",), re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]*)")),
+    (("passw", "pwd", "passphrase", "secret", "token", "key"), re.compile(r"(?i:\b[a-z_-]*(?:password|passwd|pwd|passphrase|secret|token|key)\b[\"']?\s{0,3}(?:[:=]|\bis\b)\s{0,3}[\"']?)([^\s\"',;<>]{6,})")),
+)
 #: Cheap signs, one of which any candidate of the kind shows.
 SIGNS = {"email": re.compile(r"\bat\b"), "card": re.compile(r"[0-9]{4}[. _/][0-9]{4}"), "id": re.compile(r"[0-9]-[0-9]{2}-"), "account": re.compile(r"[A-Z]{2}[0-9]{2}"), "ip": re.compile(r"[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:|::"), "phone": re.compile(r"[0-9]{2}(?:\)[ .-]?|[ .-])[0-9]{3}"), "secret": re.compile(r"[A-Za-z0-9+/_-]{20}")}
 KINDS = tuple(GENERATORS)
@@ -102,7 +110,7 @@ CUES = {
     "id": ("ssn", "social", "security", "national"),
     "account": ("iban", "account", "bank", "transfer"),
     "ip": ("ip", "host", "address", "server"),
-    "secret": ("token", "key", "secret", "password", "auth", "bearer", "credential"),
+    "secret": ("token", "key", "secret", "password", "pwd", "auth", "bearer", "credential"),
 }
 AGAINST = ("order", "item", "version", "date", "page", "figure", "isbn", "commit", "sha", "checksum", "part", "section", "invoice", "path", "lines")
 
@@ -112,6 +120,11 @@ def candidates(text: str) -> Iterator[tuple[str, int, int]]:
         if SIGNS[kind].search(text):
             for m in pattern.finditer(text):
                 yield kind, *m.span()
+    low = text.lower()
+    for signs, pattern in SECRETS:
+        if any(s in low for s in signs):
+            for m in pattern.finditer(text):
+                yield "secret", *m.span(1)
 
 
 def span_features(text: str, kind: str, a: int, b: int) -> list[float]:
@@ -162,6 +175,13 @@ def examples(n: int, seed: int = 7) -> list[tuple[str, str, int, int, bool]]:
         x = num(15)
         return next(x + c for c in "0123456789" if luhn(x + c))
 
+    def web() -> str:
+        return ".".join(["eyJ" + pick(b64, r.randint(12, 40)), pick(b64 + "-_", r.randint(20, 120)), pick(b64 + "-_", 43)])
+
+    def block() -> str:
+        kind = r.choice(["RSA PRIVATE KEY", "PRIVATE KEY", "OPENSSH PRIVATE KEY"])
+        return f"-----BEGIN {kind}-----\n" + "\n".join(pick(b64 + "+/", 64) for _ in range(r.randint(2, 8))) + f"\n-----END {kind}-----"
+
     good = {
         "email": lambda: f"{name()}{r.choice([' at ', ' (at) ', '(at)', '[at]', ' [at] '])}{name()}{r.choice([' dot ', ' (dot) ', '[dot]', '.'])}{r.choice(['com', 'org', 'net', 'de', 'fr'])}",
         "phone": lambda: r.choice([f"({num(3)}) {num(3)}-{num(4)}", f"({num(3)}){num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"{num(3)}.{num(3)}.{num(4)}", f"{num(4)} {num(3)} {num(4)}"]),
@@ -169,7 +189,7 @@ def examples(n: int, seed: int = 7) -> list[tuple[str, str, int, int, bool]]:
         "id": lambda: f"{num(3)}-{num(2)}-{num(4)}",
         "account": lambda: f"{pick('DEFGBIT', 2)}{num(2)}" + r.choice(["", " "]).join(["", *re.findall("....", num(16))]) + num(2),
         "ip": lambda: r.choice([groups(8), f"{groups(r.randint(1, 5))}::{groups(r.randint(1, 2))}", f"fe80::{groups(4)}"]),
-        "secret": lambda: r.choice([pick(hexa, r.choice([32, 40, 64])), pick(b64, r.randint(20, 48)), pick(b64 + "-_", r.randint(129, 600)), "sk_" + pick(b64, 24), "AK" + pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 18)]),
+        "secret": lambda: r.choice([pick(hexa, r.choice([32, 40, 64])), pick(b64, r.randint(20, 48)), pick(b64 + "-_", r.randint(129, 600)), "sk_" + pick(b64, 24), "AK" + pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 18), pick(b64 + "!#$%&*@", r.randint(8, 19)), name() + r.choice("!#_-") + num(r.randint(2, 4)), web(), block()]),
     }
     bad = {
         "email": lambda: f"{r.choice(WORDS)} at {r.choice(WORDS)}.{r.choice(WORDS).capitalize()}",
@@ -178,7 +198,7 @@ def examples(n: int, seed: int = 7) -> list[tuple[str, str, int, int, bool]]:
         "id": lambda: f"{num(3)}-{num(2)}-{num(4)}",
         "account": lambda: f"{pick('ABXYZ', 2)}{num(2)} {pick('ABCDEFGH', 4)} {num(4)}",
         "ip": lambda: r.choice([":".join(num(2) for _ in range(4)), f"{num(1)}::{num(1)}", f"::{r.choice(['add', 'bad', 'dec', 'fade'])}"]),
-        "secret": lambda: r.choice(["-".join(r.choice(WORDS) for _ in range(r.randint(5, 9))), "/".join([name() for _ in range(5)]), name() + name() + name() + name(), pick(hexa, 40), "-" * 30, "a" * 25, "-" * r.randint(129, 300), "/".join(name() for _ in range(40)), "_".join([name() for _ in range(4)])]),
+        "secret": lambda: r.choice(["-".join(r.choice(WORDS) for _ in range(r.randint(5, 9))), "/".join([name() for _ in range(5)]), name() + name() + name() + name(), pick(hexa, 40), "-" * 30, "a" * 25, "-" * r.randint(129, 300), "/".join(name() for _ in range(40)), "_".join([name() for _ in range(4)]), name() + name(), r.choice(["required", "expired", "invalid", "missing", "optional", "changed"]), "file." + name() + "." + name()]),
     }
     out = []
     while len(out) < n:
@@ -190,12 +210,14 @@ def examples(n: int, seed: int = 7) -> list[tuple[str, str, int, int, bool]]:
             lead.append(r.choice(CUES[kind]) + r.choice([":", " =", "", " is", ' = "', ' "']))
         elif not real and r.random() < 0.5:
             lead.append(r.choice(AGAINST) + r.choice(["", ":", " no."]))
+        elif not real and (kind in ("email", "card", "account", "ip") or kind == "secret" and not any(c.isdigit() for c in s)) and r.random() < 0.6:
+            lead.append(r.choice(CUES[kind]) + r.choice([":", "", " is"]))  # the cue of the kind before a look-alike
         head = " ".join(lead) + " " * bool(lead) * (not (lead and lead[-1].endswith('"')))
         text = head + s + r.choice([" ", ". ", '" ', ", "]) + " ".join(r.choice(WORDS) for _ in range(4))
-        for k, a, b in candidates(text):
-            if k == kind and a < len(head) + len(s) and b > len(head):
-                out.append((text, k, a, b, real))
-                break
+        start, end = len(head), len(head) + len(s)
+        if met := [(abs(a - start) + abs(b - end), a, b) for k, a, b in candidates(text) if k == kind and a < end and b > start]:
+            _, a, b = min(met)
+            out.append((text, kind, a, b, real))
     return out
 
 
@@ -281,25 +303,31 @@ class Model:
         """Accepted spans that overlap none of `taken` and each other."""
         scored = []
         taken = _merged(taken)
-        for kind, a, b in candidates(text):
+        for kind, a, b in dict.fromkeys(candidates(text)):
             if not _overlaps(taken, a, b):
                 p = float(self.probability(self.trees.score(span_features(text, kind, a, b))))
                 if p >= self.thresholds[kind]:
-                    scored.append((-p, a, -b, kind))
-        out: list[tuple[str, int, int]] = []
-        from bisect import insort
-
-        for _, a, b, kind in sorted(scored):
-            if not _overlaps(taken, a, -b):
-                insort(taken, (a, -b))
-                out.append((kind, a, -b))
-        return out
+                    scored.append((kind, a, b, p))
+        return chosen(scored, taken)
+
+
+def chosen(scored: list[tuple[str, int, int, float]], taken: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
+    """Of (kind, start, end, score), the spans that stay. taken: sorted disjoint spans that none may overlap."""
+    outer, ends = [], dict.fromkeys(KINDS, -1)
+    for kind, a, b, p in sorted(scored, key=lambda s: (s[1], -s[2])):
+        if b > ends[kind]:  # not inside one that starts before it or with it
+            outer.append((-p, a, -b, kind))
+            ends[kind] = b
+    taken, out = list(taken), []
+    for _, a, b, kind in sorted(outer):
+        if not _overlaps(taken, a, -b):
+            insort(taken, (a, -b))
+            out.append((kind, a, -b))
+    return out
 
 
 def _overlaps(taken: list[tuple[int, int]], a: int, b: int) -> bool:
     """Whether [a, b) meets one of the spans, which are sorted and disjoint: the last that starts before b has the largest end."""
-    from bisect import bisect_left
-
     k = bisect_left(taken, (b, -1))
     return k > 0 and taken[k - 1][1] > a
 
@@ -351,4 +379,4 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = spans_of(id_text(documents(spark, sf_dir)), Model())
     tell = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s.kind, s.a, s.b)), ",")
     n = lambda k: F.size(F.filter("base", lambda s: s.kind == k)).cast("bigint").alias(f"n_{k}")
-    return found.select("doc_id", *map(n, BASE), F.sha2(tell("base"), 256).alias("base_sha256"), tell("spans").alias("spans"))
+    return found.select("doc_id", *map(n, BASE), F.sha2(tell("base"), 256).alias("base_sha256"), tell("spans").alias("spans"), F.size("spans").cast("bigint").alias("n_spans"))
