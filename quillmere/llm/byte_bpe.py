@@ -21,6 +21,7 @@ from array import array
 from collections.abc import Iterator
 from itertools import islice
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -150,19 +151,21 @@ def long_documents(long: DataFrame, ranks_path: str, pattern: str, chunk: int, o
     cut = long.select(F.monotonically_increasing_id().alias("key"), "doc_id", pieces.alias("pieces"))
     rows = cut.select("key", "doc_id", F.inline("pieces")).repartition("key", "at")
 
+    kind = "<u2" if chunk + overlap < 1 << 16 else "<u4"  # of a pre-token's characters
+
     def ends(frames):
         enc = encoder(ranks_path, pattern)
         for f in frames:
-            f["ends"] = [[at + e for e in enc.spans(p)] for at, p in zip(f["at"], f["piece"], strict=True)]
+            f["sizes"] = [np.diff(np.fromiter(enc.spans(p), np.int64), prepend=0).astype(kind).tobytes() for p in f["piece"]]
             yield f
 
-    marked = rows.mapInPandas(ends, "key bigint, doc_id bigint, at int, piece string, ends array<int>")
+    marked = rows.mapInPandas(ends, "key bigint, doc_id bigint, at int, piece string, sizes binary")
 
     def join(f: pd.DataFrame) -> pd.DataFrame:
         enc = encoder(ranks_path, pattern)
         f = f.sort_values("at")
         text = "".join(p[:chunk] for p in f["piece"][:-1]) + f["piece"].iloc[-1]
-        cuts = stitched(enc, text, [(a, list(e)) for a, e in zip(f["at"], f["ends"], strict=True)])
+        cuts = stitched(enc, text, [(a, (a + np.cumsum(np.frombuffer(s, kind), dtype=np.int64)).tolist()) for a, s in zip(f["at"], f["sizes"], strict=True)])
         return pd.DataFrame({"doc_id": f["doc_id"].iloc[:1].astype("Int64"), "ids": [enc.pieces([text[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)])]})
 
     return marked.groupBy("key", "doc_id").applyInPandas(join, ROWS)
