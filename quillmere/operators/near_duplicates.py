@@ -4,7 +4,7 @@ Texts that are equal in their shingles are one class, so copies cost nothing; cl
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmere.functions.analyzers import plain
@@ -55,13 +55,28 @@ def similar_pairs(sets: DataFrame, similarity: float = SIMILAR, n_bands: int = 2
     return scored.filter(F.col("similarity") >= similarity)
 
 
-def linked_documents(docs: DataFrame, similarity: float = SIMILAR, size: int = SHINGLE) -> DataFrame:
-    """(a, b, similarity): the similar pairs of classes, and a row of similarity 1 for each further document of a class (a names the class).
+def exact_pairs(sets: DataFrame, similarity: float = SIMILAR) -> DataFrame:
+    """(a, b, similarity) of all similar classes, by a prefix-filtered join: shingles are ordered by how many classes hold them; sets of which `need` are shared at
+    least hold a common one among the n - need + 1 rarest of either. Lengths differ by the similarity at most; what meets is compared whole."""
+    each = sets.select("class_id", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    each = each.join(each.groupBy("s").agg(F.count("*").alias("df")).filter("df > 1"), "s")  # a shingle of one class joins nothing
+    place = F.row_number().over(Window.partitionBy("class_id").orderBy("df", "s"))
+    lost = F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9)  # so many of a set's shingles may be its own
+    held = each.groupBy("class_id").agg(F.count("*").alias("shared"))
+    prefix = each.withColumn("place", place).join(held, "class_id").filter(F.col("place") <= lost + 1 - (F.col("n") - F.col("shared"))).select("class_id", "n", "s")
+    met = prefix.alias("l").join(prefix.alias("r"), "s").filter("l.class_id < r.class_id").filter(F.least("l.n", "r.n") >= similarity * F.greatest("l.n", "r.n") - 1e-9)
+    pairs = met.select(F.col("l.class_id").alias("a"), F.col("r.class_id").alias("b")).distinct()
+    left, right = (sets.select(F.col("class_id").alias(k), F.col("shingles").alias("s" + k)) for k in "ab")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", jaccard("sa", "sb").alias("similarity")).filter(F.col("similarity") >= similarity)
+
+
+def linked_documents(docs: DataFrame, similarity: float = SIMILAR, size: int = SHINGLE, pairs=None) -> DataFrame:
+    """(a, b, similarity): the similar pairs of classes (by MinHash bands, or by `pairs`, such as exact_pairs), and a row of similarity 1 for each further document of a class (a names the class).
     Documents b, b' of similar or equal classes are similar; a row for every such pair would grow with the square of a group of copies."""
     member, sets = classes(docs, size)
     member, sets = materialise(member, "members"), materialise(sets, "sets")
     copies = member.filter("doc_id <> class_id").select(F.col("class_id").alias("a"), F.col("doc_id").alias("b"), F.lit(1.0).alias("similarity"))
-    return similar_pairs(sets, similarity).unionByName(copies)
+    return (pairs or similar_pairs)(sets, similarity).unionByName(copies)
 
 
 def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:

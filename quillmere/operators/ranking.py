@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillmere.functions.analyzers import plain, tokens_of
 from quillmere.operators.index import idf
+from quillmere.sources.scratch import materialise
 
 K1, B = 1.2, 0.75
 MU, FLOOR = 200.0, 1e-4
@@ -22,13 +23,15 @@ def query_terms(docs: DataFrame, queries: Mapping[str, str]) -> DataFrame:
 
 
 def scanned(docs: DataFrame, queries: Mapping[str, str], analyzer=plain) -> DataFrame:
-    """doc_id, dl, tfs: each document's length and its (term, tf) of query terms; one pass, no shuffle."""
+    """doc_id, dl, tfs: each document's length and its (term, tf) of query terms. One pass tokenises every text once, without a shuffle, and writes these
+    few columns; all that follows reads them. (In one plan, a filter on tfs, or one that the optimiser infers from an explode, would be pushed below and put the tokeniser
+    into the lambdas.)"""
     terms = sorted({t for q in queries.values() for t in tokens_of(q)})
     tokens = docs.select("doc_id", analyzer("text").alias("tokens"))
     own = F.filter("tokens", lambda t: t.isin(*terms)) if terms else F.array().cast("array<string>")
     counted = tokens.select("doc_id", F.size("tokens").cast("bigint").alias("dl"), own.alias("own"))
     tfs = F.transform(F.array_distinct("own"), lambda t: F.struct(t.alias("term"), F.size(F.filter("own", lambda u: u == t)).alias("tf")))
-    return counted.select("doc_id", "dl", tfs.alias("tfs"))
+    return materialise(counted.select("doc_id", "dl", tfs.alias("tfs")), "scanned")
 
 
 def statistics(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -66,17 +69,27 @@ def top_k(scores: DataFrame, k: int, digits: int = 6) -> DataFrame:
     return rounded.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def run_bm25(docs: DataFrame, queries: Mapping[str, str], k: int = 100) -> DataFrame:
+    """A BM25 run: the best k of every query's documents, those without a score counted as 0, and of these only the ones over 0."""
+    return top_k(bm25(docs, queries), k).filter("score > 0")
+
+
+def run_tfidf(docs: DataFrame, queries: Mapping[str, str], k: int = 100) -> DataFrame:
+    """A TF-IDF run: as tfidf(), but a norm of zero counts as 1."""
+    return top_k(tfidf(docs, queries, zero_norm=1.0), k)
+
+
 def ranked_one(scores: DataFrame, k: int, digits: int = 6) -> DataFrame:
     """top_k of a single query, by a distributed top-k (no window)."""
     return scores.select("doc_id", F.round("score", digits).alias("score")).orderBy(F.desc("score"), "doc_id").limit(k)
 
 
-def tfidf(docs: DataFrame, queries: Mapping[str, str], analyzer=plain) -> DataFrame:
+def tfidf(docs: DataFrame, queries: Mapping[str, str], analyzer=plain, zero_norm: float | None = None) -> DataFrame:
     """(qid, doc_id, score): cosine of (1 + ln tf) * idf weights. A query has each distinct term once. The norm is over all terms of a
-    document, so all tf are needed; scores of 0 or less are dropped."""
+    document, so all tf are needed; scores of 0 or less are dropped. Where a norm is zero the score is 0, or zero_norm stands for the norm."""
     from quillmere.operators.index import term_frequencies, term_stats
 
-    tf = term_frequencies(docs, analyzer=analyzer)
+    tf = materialise(term_frequencies(docs, analyzer=analyzer), "tf")
     n = F.broadcast(docs.agg(F.count("*").alias("n")))
     weights = tf.join(term_stats(tf).select("term", "df"), "term").crossJoin(n).select("term", "doc_id", ((1 + F.log("tf")) * idf(F.col("n"), F.col("df"))).alias("w"), idf(F.col("n"), F.col("df")).alias("wq"))
     asked = query_terms(docs, queries).select("qid", "term")
@@ -86,7 +99,8 @@ def tfidf(docs: DataFrame, queries: Mapping[str, str], analyzer=plain) -> DataFr
     hits = per_doc.select("doc_id", "norm", F.inline("own")).join(asked, "term")
     q_norm = weights.filter(F.col("term").isin(*terms) if terms else F.lit(False)).select("term", "wq").distinct().join(asked, "term").groupBy("qid").agg(F.sqrt(F.sum(F.col("wq") * F.col("wq"))).alias("q_norm"))
     dots = hits.groupBy("qid", "doc_id", "norm").agg(F.sum(F.col("w") * F.col("wq")).alias("dot"))
-    score = F.when((F.col("norm") == 0) | (F.col("q_norm") == 0), F.lit(0.0)).otherwise(F.col("dot") / (F.col("norm") * F.col("q_norm")))
+    length = lambda c: F.col(c) if zero_norm is None else F.when(F.col(c) == 0, zero_norm).otherwise(F.col(c))
+    score = F.coalesce(F.try_divide(F.col("dot"), length("norm") * length("q_norm")), F.lit(0.0))
     return dots.join(F.broadcast(q_norm), "qid").select("qid", "doc_id", score.alias("score")).filter("score > 0")
 
 

@@ -58,6 +58,7 @@ def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_
 
 def query_blocks(queries: DataFrame, most: int):
     """Lists of (qid, query), one at a time; none is empty."""
+    queries = present(queries, "query")
     n = -(-queries.count() // most)
     for block in range(n):
         asked = [(r.qid, list(r.query)) for r in queries.filter(F.pmod(F.xxhash64("qid"), F.lit(n)) == block).collect()]
@@ -71,23 +72,34 @@ def _block_top_k(vectors: DataFrame, asked: list[tuple], k: int, key: str, vecto
 
     def search(frames):
         matrix, names = held.value
-        best_s, best_k = np.full((len(names), k), -np.inf), np.full((len(names), k), -1, np.int64)
+        best_s, best_k = np.full((len(names), 0), -np.inf), np.full((len(names), 0), None, object)
         for f in frames:
             if not len(f):
                 continue
             s = matrix.astype(np.float64) @ np.stack(f[vector].to_numpy()).astype(np.float64).T
-            s = np.concatenate([best_s, np.round(s, 5)], 1)
-            keys = np.concatenate([best_k, np.broadcast_to(f[key].to_numpy(np.int64), (len(names), len(f)))], 1)
-            order = np.lexsort((keys, -s))[:, :k]
-            best_s, best_k = np.take_along_axis(s, order, 1), np.take_along_axis(keys, order, 1)
-        q, r = np.nonzero(best_k >= 0)
-        yield pd.DataFrame({"qid": [names[i] for i in q], key: best_k[q, r], "score": best_s[q, r]})
-
-    found = vectors.select(key, vector).mapInPandas(search, f"qid {qkind}, {key} {kind}, score double")
+            own = f[key].to_numpy()
+            by_key = np.argsort(own, kind="stable")  # ties go to the smaller key, of whatever type
+            s, own = np.round(s[:, by_key], 5), own[by_key]
+            top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+            best_s = np.concatenate([best_s, np.take_along_axis(s, top, 1)], 1)
+            best_k = np.concatenate([best_k, own[top].astype(object)], 1)
+            for q in range(len(names) if best_s.shape[1] > k else 0):
+                order = sorted(range(best_s.shape[1]), key=lambda j: (-best_s[q, j], best_k[q, j]))  # noqa: B023
+                best_s[q], best_k[q] = best_s[q, order], best_k[q, order]
+            best_s, best_k = best_s[:, :k], best_k[:, :k]
+        n = best_s.shape[1]
+        yield pd.DataFrame({"qid": pd.Series([i for i in names for _ in range(n)], dtype=object), key: pd.Series(best_k.ravel().tolist(), dtype=object), "score": best_s.ravel()})
+
+    found = present(vectors, vector).select(key, vector).mapInPandas(search, f"qid {qkind}, {key} {kind}, score double")
     w = Window.partitionBy("qid").orderBy(F.desc("score"), key)
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def present(vectors: DataFrame, vector: str) -> DataFrame:
+    """Rows with a vector that is neither null nor empty."""
+    return vectors.filter(F.col(vector).isNotNull() & (F.size(vector) > 0))
+
+
 def winner(a: Column, b: Column) -> Column:
     """Which of two scores is larger; the left one on a tie."""
     return F.when(a >= b, "left").otherwise("right")
@@ -134,6 +146,10 @@ def kmeans(points: np.ndarray, k: int, rounds: int = 15, seed: int = 1) -> np.nd
     return centres
 
 
+#: Cells, stretches of a vector, codes of a stretch, cells that a search reads and rows (times k) that it scores exactly.
+PARTITIONS, STRETCHES, CODES, NPROBE, RERANK = 8, 16, 64, 6, 20
+
+
 @dataclass
 class IvfPq:
     """Coarse centroids, and a codebook for each stretch of the residuals. Fitted on a bounded sample; every row is indexed."""
@@ -142,10 +158,13 @@ class IvfPq:
     books: np.ndarray  # stretches x codes x width
 
     @classmethod
-    def fit(cls, vectors: DataFrame, partitions: int = 4, stretches: int = 4, codes: int = 16, sample: int = 20_000, vector: str = "embedding", key: str = "vec_id") -> IvfPq:
+    def fit(cls, vectors: DataFrame, partitions: int = PARTITIONS, stretches: int = STRETCHES, codes: int = CODES, sample: int = 20_000, vector: str = "embedding", key: str = "vec_id") -> IvfPq:
         """The sample is the `sample` rows with the lowest hash of their key."""
-        rows = vectors.filter(F.col(vector).isNotNull()).orderBy(F.xxhash64(key), key).limit(sample).select(vector).collect()
+        rows = present(vectors, vector).orderBy(F.xxhash64(key), key).limit(sample).select(vector).collect()
+        if not rows:
+            return cls(np.zeros((1, 1)), np.zeros((1, 1, 1)))  # nothing to index
         x = np.array([r[0] for r in rows], np.float64)
+        stretches = max(k for k in range(1, stretches + 1) if x.shape[1] % k == 0)
         centres = kmeans(x, partitions)
         left = x - centres[((x[:, None] - centres[None]) ** 2).sum(2).argmin(1)]
         width = x.shape[1] // stretches
@@ -163,11 +182,16 @@ class IvfPq:
                 left = x - centres[cell]
                 w = books.shape[2]
                 codes = [((left[:, None, s * w : (s + 1) * w] - books[s][None]) ** 2).sum(2).argmin(1) for s in range(len(books))]
-                yield pd.DataFrame({key: f[key], "cell": cell.astype(np.int32), "codes": list(np.stack(codes, 1).astype(np.int32)) if len(f) else [], vector: f[vector]})
+                yield pd.DataFrame({key: f[key].astype(object), "cell": cell.astype(np.int32), "codes": list(np.stack(codes, 1).astype(np.int32)) if len(f) else [], vector: f[vector]})
+
+        return present(vectors, vector).select(key, vector).mapInPandas(place, f"{key} {kind}, cell int, codes array<int>, {vector} array<float>")
 
-        return vectors.filter(F.col(vector).isNotNull()).select(key, vector).mapInPandas(place, f"{key} {kind}, cell int, codes array<int>, {vector} array<float>")
+    def write(self, vectors: DataFrame, path: str, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
+        """The index as a table with a folder for each cell, so that a search reads the cells it probes."""
+        self.index(vectors, vector, key).write.mode("overwrite").partitionBy("cell").parquet(path)
+        return vectors.sparkSession.read.parquet(path)
 
-    def search(self, index: DataFrame, query: list[float], k: int, nprobe: int = 1, rerank: int | None = 10, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
+    def search(self, index: DataFrame, query: list[float], k: int, nprobe: int = NPROBE, rerank: int | None = RERANK, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
         """(key, score): the nprobe nearest cells are read; product codes choose rerank * k rows (all where it is None), which are scored exactly."""
         q = np.asarray(query, np.float64)
         cells = ((self.centres - q) ** 2).sum(1).argsort()[:nprobe]
@@ -179,7 +203,7 @@ class IvfPq:
         rows = rows if rerank is None else rows.orderBy(F.desc("guess"), key).limit(rerank * k)
         return exact_top_k(rows, query, k, key, vector)
 
-    def batch_search(self, index: DataFrame, queries: DataFrame, k: int, nprobe: int = 1, rerank: int = 10, vector: str = "embedding", key: str = "vec_id", most_queries: int = 2_000) -> DataFrame:
+    def batch_search(self, index: DataFrame, queries: DataFrame, k: int, nprobe: int = NPROBE, rerank: int = RERANK, vector: str = "embedding", key: str = "vec_id", most_queries: int = 2_000) -> DataFrame:
         """(qid, key, score, rank) of queries (qid, query), each as search() answers it; blocks of queries are broadcast."""
         kinds = f"qid {dict(queries.dtypes)['qid']}, {key} {dict(index.dtypes)[key]}, score double"
         found = [self._block_search(index, block, rerank * k, nprobe, vector, key, kinds) for block in query_blocks(queries, most_queries)]

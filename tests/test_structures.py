@@ -54,6 +54,52 @@ def test_skips_and_blocks(spark):
     assert compression.skipping([100], list(range(0, 101)), 10) < 20
 
 
+def steps_by_hand(small, big, interval):
+    """Postings looked at, from what a skip pointer may do: jump a whole block that ends before the number, else go on by one."""
+    if len(small) > len(big):
+        small, big = big, small
+    blocks = [big[k : k + interval] for k in range(0, len(big), interval)]
+    looked, at = 0, 0
+    for want in small:
+        ahead = [k for k, b in enumerate(blocks) if k >= at and b[-1] >= want]
+        looked += (ahead[0] if ahead else len(blocks)) - at
+        if not ahead:
+            break
+        at = ahead[0]
+        looked += sum(n < want for n in blocks[at]) + (want in blocks[at])
+    return looked
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_intersection_with_skips(spark, seed):
+    rng = np.random.default_rng(seed)
+    a, b = (sorted(rng.choice(700, n, replace=False).tolist()) for n in ((40, 300), (200, 200), (1, 30), (300, 20))[seed])
+    left, right = (spark.createDataFrame([(int(n),) for n in v], "n long") for v in (a, b))
+    for interval in (4, 32):
+        row = compression.comparisons_skips(left, right, interval).first()
+        assert (row.hits, row.examined) == (len(set(a) & set(b)), steps_by_hand(a, b, interval))
+        assert compression.skipping(a, b, interval) == row.examined
+    met = compression.intersect_skips(left, right).filter("hit")
+    assert sorted(r.n for r in met.collect()) == sorted(set(a) & set(b))
+    terms = left.withColumn("term", F.lit("a")).unionByName(right.withColumn("term", F.lit("b")))
+    bench = compression.plain_against_skips(terms, ["none", "a", "b"]).first()
+    assert bench.skips == compression.skipping(a, b) and bench.hits == len(set(a) & set(b))
+    with pytest.raises(ValueError):
+        compression.plain_against_skips(terms, ["a", "none"])
+
+
+@pytest.mark.parametrize("span", [3, 50])
+def test_ranks_in_buckets(spark, span):
+    rng = np.random.default_rng(span)
+    lists = {t: sorted(rng.choice(120, 40, replace=False).tolist()) for t in "ab"}
+    p = spark.createDataFrame([(t, int(n)) for t, v in lists.items() for n in v], "term string, n long")
+    want = sorted((t, n, k, v[k - 1] if k else None) for t, v in lists.items() for k, n in enumerate(v))
+    got = compression.ranked(p, span=span)
+    assert sorted((r.term, r.n, r.k, r.before) for r in got.collect()) == want
+    g = compression.gaps(p, span=span).join(got.select("term", "n", "k"), ["term", "n"]).drop("n")
+    assert sorted((r.term, r.n) for r in compression.undo_gaps(g, span=span).collect()) == [(t, n) for t, n, _, _ in want]
+
+
 def test_top_k_by_block_maxima(spark):
     rng = np.random.default_rng(3)
     rows = [(t, int(n), float(round(rng.random(), 4))) for t in ("a", "b") for n in rng.choice(400, 150, replace=False)]
@@ -109,6 +155,16 @@ def test_batch_search_in_blocks(points):
     assert vectors.batch_top_k(points, queries.limit(0), 3).count() == 0
 
 
+def test_null_and_empty_vectors_and_other_keys(spark):
+    rows = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [1.0, 0.0]), ("c", None), ("d", []), ("e", [0.0, 1.0])], "name string, v array<float>")
+    asked = spark.createDataFrame([("q", [1.0, 0.0]), ("r", None)], "qid string, query array<float>")
+    got = vectors.batch_top_k(rows, asked, 2, "name", "v")
+    assert sorted((r.qid, r.name, r["rank"]) for r in got.collect()) == [("q", "a", 1), ("q", "b", 2)]
+    model = vectors.IvfPq.fit(rows, 2, 2, 2, vector="v", key="name")
+    assert model.index(rows, "v", "name").count() == 3
+    assert vectors.IvfPq.fit(rows.limit(0), vector="v", key="name").index(rows.limit(0), "v", "name").count() == 0
+
+
 def test_inverted_file(points):
     model = vectors.IvfPq.fit(points)
     index = model.index(points).cache()
@@ -302,6 +358,16 @@ def test_similarity_of_queries_and_all_rows(points):
     assert len(got) == 15 * 300 and all(r.score == 1 for r in got if r.a == r.b)
 
 
+def test_exact_pairs_equal_brute_force(spark):
+    rng = np.random.default_rng(8)
+    sets = {k: sorted(set(rng.choice(30, int(rng.integers(1, 14))).tolist())) for k in range(60)}
+    sets |= {100 + k: sorted({*v, 99}) for k, v in sets.items() if k % 3 == 0}
+    df = spark.createDataFrame([(k, v) for k, v in sets.items()], "class_id long, shingles array<bigint>")
+    j = lambda x, y: len(set(x) & set(y)) / len(set(x) | set(y))
+    want = {(a, b) for a in sets for b in sets if a < b and j(sets[a], sets[b]) >= 0.8}
+    assert {(r.a, r.b) for r in near_duplicates.exact_pairs(df).collect()} == want and len(want) > 10
+
+
 def test_linked_documents_equal_brute_force(spark):
     base = [f"w{k}" for k in range(60)]
     near = base[:59] + ["other"]
