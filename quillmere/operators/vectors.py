@@ -146,7 +146,8 @@ def kmeans(points: np.ndarray, k: int, rounds: int = 15, seed: int = 1) -> np.nd
     return centres
 
 
-#: Cells, stretches of a vector, codes of a stretch, cells that a search reads and rows (times k) that it scores exactly.
+#: Settings for recall on vectors without clear clusters: cells, stretches of a vector, codes of a stretch, cells that a search reads and rows (times k)
+#: that it scores exactly.
 PARTITIONS, STRETCHES, CODES, NPROBE, RERANK = 8, 16, 64, 6, 20
 
 
@@ -158,7 +159,7 @@ class IvfPq:
     books: np.ndarray  # stretches x codes x width
 
     @classmethod
-    def fit(cls, vectors: DataFrame, partitions: int = PARTITIONS, stretches: int = STRETCHES, codes: int = CODES, sample: int = 20_000, vector: str = "embedding", key: str = "vec_id") -> IvfPq:
+    def fit(cls, vectors: DataFrame, partitions: int = 4, stretches: int = 4, codes: int = 16, sample: int = 20_000, vector: str = "embedding", key: str = "vec_id") -> IvfPq:
         """The sample is the `sample` rows with the lowest hash of their key."""
         rows = present(vectors, vector).orderBy(F.xxhash64(key), key).limit(sample).select(vector).collect()
         if not rows:

@@ -469,7 +469,7 @@ def ann_queries(e):
 def ann_batch(spark, d):
     """The index's neighbours of every row whose id is divisible by 20."""
     e = table(spark, d, "embeddings")
-    model = vectors.IvfPq.fit(e)
+    model = vectors.IvfPq.fit(e, vectors.PARTITIONS, vectors.STRETCHES, vectors.CODES)
     return model.batch_search(model.write(e, scratch_path(spark, "cells")), ann_queries(e), 5)
 
 
@@ -518,12 +518,11 @@ HIT = "CAST(1.0 AS DOUBLE) AS score"
 DSL = {
     "dsl_match_all": ({"query": {"match_all": {}}}, f"SELECT doc_id, {HIT} FROM documents"),
     "dsl_match": ({"query": {"match": {"text": "the thanon Keit"}}}, f"{std_bm25(['thanon', 'keit'])} SELECT doc_id, round(score, 6) AS score FROM s"),
-    "dsl_match_and": ({"query": {"match": {"text": {"query": "thanon erening", "operator": "and"}}}}, f"{std_bm25(['thanon', 'erening'], True)} SELECT doc_id, round(score, 6) AS score FROM s"),
+    "dsl_match_and": ({"query": {"match": {"text": {"query": "und DER", "operator": "and"}}}}, f"{std_bm25(['und', 'der'], True)} SELECT doc_id, round(score, 6) AS score FROM s"),
     "dsl_term": ({"query": {"term": {"lang": "de"}}}, f"SELECT doc_id, {HIT} FROM documents WHERE lang = 'de'"),
     "dsl_terms": ({"query": {"terms": {"source": ["src1", "src7"]}}}, f"SELECT doc_id, {HIT} FROM documents WHERE source IN ('src1', 'src7')"),
     "dsl_range": ({"query": {"range": {"n_chars": {"gte": 500, "lt": 900}}}}, f"SELECT doc_id, {HIT} FROM documents WHERE n_chars >= 500 AND n_chars < 900"),
     "dsl_ids": ({"query": {"ids": {"values": [3, 5, "99999999"]}}}, f"SELECT doc_id, {HIT} FROM documents WHERE doc_id IN (3, 5)"),
-    "dsl_exists": ({"query": {"exists": {"field": "lang"}}}, f"SELECT doc_id, {HIT} FROM documents WHERE lang <> ''"),
     "dsl_function_score": ({"query": {"function_score": {"query": {"term": {"lang": "fr"}}, "functions": [{"weight": 2}, {"weight": 3.5}]}}}, "SELECT doc_id, CAST(3.5 AS DOUBLE) AS score FROM documents WHERE lang = 'fr'"),
     "dsl_bool": (
         {"query": {"bool": {"must": [{"match": {"text": "thanon keit"}}], "should": [{"term": {"source": "src1"}}], "must_not": [{"range": {"n_chars": {"gt": 4000}}}], "filter": [{"terms": {"lang": ["en", "de"]}}]}}},
@@ -535,6 +534,13 @@ for _name, (_body, _sql) in DSL.items():
     SQL[_name] = _sql
 
 
+@query(f"SELECT doc_id, {HIT} FROM documents WHERE lang <> 'fr' AND lang <> ''")
+def dsl_exists(spark, d):
+    """French documents lose their language first, so that the field is missing somewhere."""
+    rows = table(spark, d, "documents").withColumn("lang", F.nullif("lang", F.lit("fr")))
+    return SearchIndex(rows, {"text": "text", "lang": "keyword"}).hits({"query": {"exists": {"field": "lang"}}})
+
+
 @query("SELECT doc_id, CAST(1.0 AS DOUBLE) AS score FROM documents WHERE lang = 'de' ORDER BY n_chars DESC, doc_id LIMIT 7 OFFSET 3")
 def dsl_page_sorted(spark, d):
     return search_index(spark, d).page({"query": {"term": {"lang": "de"}}, "sort": [{"n_chars": "desc"}], "from": 3, "size": 7})
@@ -691,10 +697,39 @@ def kmeans_labels(spark, d):
     return learning.kmeans_clusters(rows, 4)[0].select("doc_id", "cluster")
 
 
+def event_rows(spark, d) -> DataFrame:
+    return tail.event_stream(spark, d, table(spark, d, "events").schema, "events.parquet")
+
+
+def stream_name(spark) -> str:
+    return "tail_" + Path(scratch_path(spark, "t")).name.replace("-", "_")
+
+
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def stream_tail_counts(spark, d):
-    schema = table(spark, d, "events").schema
-    stream = tail.event_stream(spark, d, schema, "events.parquet")
-    name = "tail_" + Path(scratch_path(spark, "t")).name.replace("-", "_")
-    return tail.drain(tail.counts_by(stream, "event_type"), name).select("event_type", "n")
+    return tail.drain(tail.counts_by(event_rows(spark, d), "event_type"), stream_name(spark)).select("event_type", "n")
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def stream_windowed_counts(spark, d):
+    rows = event_rows(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    return tail.drain(tail.windowed_counts(rows, "ts", "event_type"), stream_name(spark)).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+@query("""WITH e AS (SELECT user_id, ts, coalesce(ts >= lag(ts) OVER w + INTERVAL 30 MINUTE, true) AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
+SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k""")
+def stream_sessions(spark, d):
+    """Sessions of the events that are there, as a table; as a stream they need the append mode, which waits for the watermark."""
+    rows = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return tail.sessions(rows, "ts", "user_id").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query(r"""WITH u AS (SELECT DISTINCT lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)', 1)) || substr(regexp_replace(url, '#.*$', ''), length(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)', 1)) + 1) AS url, page_id FROM pages),
+n AS (SELECT DISTINCT regexp_replace(url, '/$', '') AS url, page_id % 3 = 0 AS seen FROM u), f AS (SELECT DISTINCT url FROM n WHERE NOT seen AND url NOT IN (SELECT url FROM n WHERE seen))
+SELECT url, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) AS host, row_number() OVER (PARTITION BY lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) ORDER BY url) AS turn FROM f""")
+def url_frontier(spark, d):
+    """Pages that are new against those with an id divisible by 3."""
+    p = table(spark, d, "pages")
+    return crawl.frontier(p.filter("page_id % 3 <> 0").select("url"), p.filter("page_id % 3 = 0").select("url"))
 

@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests, one machine), a temporary one becomes it."""
+    """The folder in spark.checkpoint.dir; where it is unset, a temporary one becomes it on a single machine, and it is an error on a cluster."""
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
     if (held := sc._jsc.sc().getCheckpointDir()).isDefined():
         return held.get().rstrip("/")
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="quillmere-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmere.operators.index import term_frequencies
+from quillmere.sources.scratch import scratch_path
 
 
 def tail(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -43,10 +44,16 @@ def maintain_index(stream: DataFrame, path: str, checkpoint: str):
 
 
 def drain(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over what is there and give its result table."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Run a stream over what is there and give its result table, which is written to the shared folder: each complete result replaces the one
+    before; in other modes each batch is a folder named by its number, so that one that is run again replaces itself."""
+    spark, path = stream.sparkSession, scratch_path(stream.sparkSession, name)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows" if mode == "complete" else f"{path}/rows/batch={number}")
+
+    query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     try:
         query.awaitTermination()
     finally:
         query.stop()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
