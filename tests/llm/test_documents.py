@@ -480,6 +480,42 @@ def test_near_copies_equal_brute_force(spark):
     assert kept == {min(v) for v in want.values()}
 
 
+def test_crowded_near_copies_equal_brute_force(spark):
+    from quillmere.llm import near_copies
+
+    r = random.Random(11)
+    base = [f"w{r.randrange(5000)}" for _ in range(120)]
+    texts = [" ".join(base)]
+    for k in range(160):
+        copy = list(base if k % 3 else texts[-1].split())
+        for _ in range(r.randrange(1, 7)):
+            copy[r.randrange(len(copy))] = f"x{r.randrange(400)}"
+        texts.append(" ".join(copy[: r.choice([120, 120, 110, 95])]))
+    sets = [near_copies.shingle_set(t.encode()) for t in texts]
+    near = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if near_copies.jaccard(sets[a], sets[b]) >= 0.8}
+    # the filters alone: every class its own group, centre 0; an outside one is below the similarity to the centre
+    rows = [(0, k, k, (0, k) not in near) for k in range(1, len(sets))]
+    own = spark.createDataFrame([(k, bytearray(s.tobytes())) for k, s in enumerate(sets)], "class bigint, own binary")
+    members = spark.createDataFrame(rows, "centre bigint, class bigint, root bigint, outside boolean")
+    got = {(x.a, x.b) for x in near_copies.across(near_copies.parts(members, own, 0.8), 0.8).collect()}
+    outside = {k for _, k, _, o in rows if o}
+    want = {p for p in near if 0 not in p and outside & set(p)}
+    every = len(outside) * (len(rows) - len(outside)) + len(outside) * (len(outside) - 1) // 2
+    assert len(want) > 50 and len(outside) > 50 and want <= got and len(got) < every / 5, (len(want), len(outside), len(got), every)
+    # and the groups
+    label = list(range(len(texts)))
+    for a, b in sorted(near):
+        old, new = max(label[a], label[b]), min(label[a], label[b])
+        label = [new if x == old else x for x in label]
+    want = {}
+    for k, x in enumerate(label):
+        want.setdefault(x, set()).add(k)
+    found = {}
+    for x in near_copies.groups(frame(spark, list(enumerate(texts))), F.lit(0)).collect():
+        found.setdefault(x.group, set()).add(x.doc_id)
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, want.values()))
+
+
 def test_registry():
     from quillmere.llm import registry
 
