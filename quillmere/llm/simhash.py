@@ -30,6 +30,7 @@ from quillmere.sources.ship import ship
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 BUCKET = 2048
+HOT = 1000
 SHINGLE = 3
 SEED = 42
 
@@ -136,15 +137,20 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_groups(docs: DataFrame, radius: int = 2, k: int = SHINGLE, bucket: int = BUCKET, extra: Column | None = None) -> DataFrame:
+def near_groups(docs: DataFrame, radius: int = 2, k: int = SHINGLE, bucket: int = BUCKET, extra: Column | None = None, hot: int = HOT) -> DataFrame:
     """doc_id, fp, component_id, extra of every document."""
     marked = materialise(fingerprints(docs, k, extra), "fingerprints")
-    nodes = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
+    nodes = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "nodes")
     roots = components(links(nodes.select("fp"), radius, bucket))
-    named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "low", "n", F.coalesce("root", "fp").alias("root"))
     names = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    of = named.join(names, "root").select("fp", "component_id")
-    return marked.join(of, "fp").select("doc_id", "fp", "component_id", "extra")
+    of = materialise(named.join(names, "root").select("fp", "n", "component_id"), "of")
+    discard(nodes)
+    # Fingerprints of over 1 in `hot` rows, fewer than `hot` of them, are broadcast: their rows don't meet in one task.
+    least = of.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] / hot
+    many = F.broadcast(of.filter(F.col("n") > least).select("fp", "component_id"))
+    rest = marked.join(many, "fp", "left_anti").join(of.filter(F.col("n") <= least), "fp")
+    return marked.join(many, "fp").unionByName(rest.drop("n")).select("doc_id", "fp", "component_id", "extra")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -283,14 +283,17 @@ def test_links_and_components(spark, bucket):
     assert len(pairs) == len(set(mine)) == len(set(want))
 
 
-def test_near_groups(spark):
+@pytest.mark.parametrize("hot", [simhash.HOT, 3])
+def test_near_groups(spark, hot):
     import xxhash
 
     r = random.Random(6)
     text = " ".join(r.choice(["aa", "bb", "cc", "Dd"]) for _ in range(300))
     rows = [*EDGES, (20, text), (21, text.upper()), (22, text + " end"), (23, "other words entirely here"), (24, "two words"), (25, "TWO words")]
     got = {}
-    for x in simhash.near_groups(frame(spark, rows)).collect():
+    found = simhash.near_groups(frame(spark, rows), hot=hot).collect()
+    assert len(found) == len(rows)
+    for x in found:
         got.setdefault(x.doc_id, []).append((x.fp & (1 << 64) - 1, x.component_id))
 
     def brute(t):
