@@ -23,20 +23,24 @@ def query_terms(docs: DataFrame, queries: Mapping[str, str]) -> DataFrame:
 
 
 def scanned(docs: DataFrame, queries: Mapping[str, str], analyzer=plain) -> DataFrame:
-    """doc_id, dl, tfs: each document's length and its (term, tf) of query terms. One pass tokenises every text once, without a shuffle, and writes these
-    few columns; all that follows reads them. (In one plan, a filter on tfs, or one that the optimiser infers from an explode, would be pushed below and put the tokeniser
-    into the lambdas.)"""
+    """doc_id, dl, tfs: each document's length and its (term, tf) of query terms. One pass tokenises every text once, without a shuffle. (What reads it opens
+    tfs with outer generators: a filter on tfs, or one that the optimiser infers from an explode, would be pushed below and put the tokeniser into the lambdas.)"""
     terms = sorted({t for q in queries.values() for t in tokens_of(q)})
     tokens = docs.select("doc_id", analyzer("text").alias("tokens"))
     own = F.filter("tokens", lambda t: t.isin(*terms)) if terms else F.array().cast("array<string>")
     counted = tokens.select("doc_id", F.size("tokens").cast("bigint").alias("dl"), own.alias("own"))
     tfs = F.transform(F.array_distinct("own"), lambda t: F.struct(t.alias("term"), F.size(F.filter("own", lambda u: u == t)).alias("tf")))
-    return materialise(counted.select("doc_id", "dl", tfs.alias("tfs")), "scanned")
+    return counted.select("doc_id", "dl", tfs.alias("tfs"))
+
+
+def written(docs: DataFrame, queries: Mapping[str, str], analyzer=plain) -> DataFrame:
+    """scanned() as a written table of few columns: rankers that are given it read the texts once between them."""
+    return materialise(scanned(docs, queries, analyzer), "scanned")
 
 
 def statistics(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(term, df, cf) of the query terms, and one row n, total, avgdl; both small enough to broadcast (by the batch's size)."""
-    terms = rows.select(F.explode("tfs").alias("t")).groupBy("t.term").agg(F.count("*").alias("df"), F.sum("t.tf").alias("cf"))
+    terms = rows.select(F.inline_outer("tfs")).filter("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
     total = F.coalesce(F.sum("dl"), F.lit(0))
     coll = rows.agg(F.count("*").alias("n"), total.alias("total"), F.when(F.count("*") > 0, total / F.count("*")).otherwise(0.0).alias("avgdl"))
     return F.broadcast(terms), F.broadcast(coll)
@@ -46,11 +50,12 @@ def bm25_weight(tf: Column, dl: Column, avgdl: Column, k1: Column | float = K1,
     return tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
 
 
-def bm25(docs: DataFrame, queries: Mapping[str, str], k1: float = K1, b: float = B, analyzer=plain) -> DataFrame:
-    """(qid, doc_id, score) of documents that hold a query term. Repeated query terms count again."""
-    rows = scanned(docs, queries, analyzer)
+def bm25(docs: DataFrame, queries: Mapping[str, str], k1: float = K1, b: float = B, analyzer=plain, rows: DataFrame | None = None) -> DataFrame:
+    """(qid, doc_id, score) of documents that hold a query term. Repeated query terms count again. rows: what written() gave for these documents and
+    queries; without it the texts are scanned for the statistics and again for the hits."""
+    rows = scanned(docs, queries, analyzer) if rows is None else rows
     terms, coll = statistics(rows)
-    hits = rows.filter(F.size("tfs") > 0).select("doc_id", "dl", F.inline("tfs"))
+    hits = rows.select("doc_id", "dl", F.inline_outer("tfs")).filter("term IS NOT NULL")
     scored = hits.join(query_terms(docs, queries), "term").join(terms, "term").crossJoin(coll)
     part = F.col("qtf") * idf(F.col("n"), F.col("df")) * bm25_weight(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b)
     return scored.groupBy("qid", "doc_id").agg(F.sum(part).alias("score"))
@@ -69,9 +74,9 @@ def top_k(scores: DataFrame, k: int, digits: int = 6) -> DataFrame:
     return rounded.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def run_bm25(docs: DataFrame, queries: Mapping[str, str], k: int = 100) -> DataFrame:
+def run_bm25(docs: DataFrame, queries: Mapping[str, str], k: int = 100, rows: DataFrame | None = None) -> DataFrame:
     """A BM25 run: the best k of every query's documents, those without a score counted as 0, and of these only the ones over 0."""
-    return top_k(bm25(docs, queries), k).filter("score > 0")
+    return top_k(bm25(docs, queries, rows=rows), k).filter("score > 0")
 
 
 def run_tfidf(docs: DataFrame, queries: Mapping[str, str], k: int = 100) -> DataFrame:
@@ -104,10 +109,10 @@ def tfidf(docs: DataFrame, queries: Mapping[str, str], analyzer=plain, zero_norm
     return dots.join(F.broadcast(q_norm), "qid").select("qid", "doc_id", score.alias("score")).filter("score > 0")
 
 
-def query_likelihood(docs: DataFrame, queries: Mapping[str, str], mu: float = MU, floor: float = FLOOR, analyzer=plain) -> DataFrame:
+def query_likelihood(docs: DataFrame, queries: Mapping[str, str], mu: float = MU, floor: float = FLOOR, analyzer=plain, rows: DataFrame | None = None) -> DataFrame:
     """(qid, doc_id, score) of every document: Dirichlet-smoothed log likelihood; repeated query terms count again.
-    The collection model always smooths with MU, whatever mu is given. A query without terms scores 0.0."""
-    rows = scanned(docs, queries, analyzer)
+    The collection model always smooths with MU, whatever mu is given. A query without terms scores 0.0. rows: as for bm25()."""
+    rows = scanned(docs, queries, analyzer) if rows is None else rows
     terms, coll = statistics(rows)
     asked = query_terms(docs, queries).join(terms, "term", "left").crossJoin(coll).select("qid", "term", "qtf", ((F.coalesce("cf", F.lit(0)) + MU * floor) / (F.col("total") + MU)).alias("bg"))
     per_query = asked.groupBy("qid").agg(F.collect_list(F.struct("term", "qtf", "bg")).alias("terms"))  # bounded by the batch
@@ -123,7 +128,7 @@ def bm25_grid(docs: DataFrame, query: str, k1s: list[float], bs: list[float], k:
     """(k1, b, ndcg) of a parameter grid in one job, best first; no rows if no query term is known. A document's grade is the number of distinct
     known query terms in it where that is half of them or more, else 0; the ranking is the top k with a positive score, and its ideal is cut to as many."""
     spark = docs.sparkSession
-    rows = scanned(docs, {"q": query})
+    rows = written(docs, {"q": query})
     stats, coll = statistics(rows)
     known = F.broadcast(stats.agg(F.count("*").alias("known")))
     hits = rows.filter(F.size("tfs") > 0).select("doc_id", "dl", F.size("tfs").alias("n_terms"), F.inline("tfs"))

@@ -193,13 +193,14 @@ def set_operations(spark, d):
 
 @query(f"{bm25_sql(ASKED)} {TOP}")
 def bm25_topk(spark, d):
-    return ranking.top_k(ranking.bm25(docs(spark, d), ASKED), 10)
+    own = docs(spark, d)
+    return ranking.top_k(ranking.bm25(own, ASKED, rows=ranking.written(own, ASKED)), 10)
 
 
 @query(f"{bm25_sql({'q': ONE})} SELECT 'q' AS qid, tok.doc_id, round(coalesce(score, 0.0), 6) AS score FROM tok LEFT JOIN s ON s.doc_id = tok.doc_id")
 def bm25_all_docs(spark, d):
-    asked = {"q": ONE}
-    return ranking.with_zeros(docs(spark, d), asked, ranking.bm25(docs(spark, d), asked)).withColumn("score", F.round("score", 6))
+    own, asked = docs(spark, d), {"q": ONE}
+    return ranking.with_zeros(own, asked, ranking.bm25(own, asked, rows=ranking.written(own, asked))).withColumn("score", F.round("score", 6))
 
 
 @query(f"""{BASE}, {asked_sql({"q": ONE})}, g(k1, b) AS (SELECT * FROM (VALUES (0.9), (1.2), (1.6)), (VALUES (0.3), (0.75), (1.0))), known AS (SELECT count(*) AS known FROM q JOIN df USING (term)),
@@ -222,7 +223,8 @@ def tfidf_topk(spark, d):
 @query(f"""{BASE}, {asked_sql(ASKED)}, bg AS (SELECT qid, term, qtf, (coalesce(cf, 0) + 200 * 0.0001) / (total + 200) AS bg FROM q LEFT JOIN df USING (term), coll),
 s AS (SELECT qid, tok.doc_id, sum(qtf * ln((coalesce(tf, 0) + 200 * bg) / (len(t) + 200))) AS score FROM tok CROSS JOIN bg LEFT JOIN tf ON tf.doc_id = tok.doc_id AND tf.term = bg.term GROUP BY qid, tok.doc_id) {TOP}""")
 def ql_topk(spark, d):
-    return ranking.top_k(ranking.query_likelihood(docs(spark, d), ASKED), 10)
+    own = docs(spark, d)
+    return ranking.top_k(ranking.query_likelihood(own, ASKED, rows=ranking.written(own, ASKED)), 10)
 
 
 QRELS = """qr AS (SELECT 'q' || unnest(range(1, 6)) AS qid), qrels AS (SELECT qid, doc_id, CASE WHEN quality = 1 AND toxic = 0 THEN 2 WHEN quality = 1 THEN 1 ELSE 0 END AS grade FROM qr, labels WHERE doc_id % 5 = CAST(substr(qid, 2) AS INTEGER) - 1)"""
@@ -244,7 +246,8 @@ m AS (SELECT o.qid, coalesce(sum(rel) FILTER (rank <= 10) / nullif(count(rank) F
 
 
 def bm25_run(spark, d) -> DataFrame:
-    return materialise(ranking.top_k(ranking.bm25(docs(spark, d), ASKED), 100), "run")
+    own = docs(spark, d)
+    return materialise(ranking.top_k(ranking.bm25(own, ASKED, rows=ranking.written(own, ASKED)), 100), "run")
 
 
 @query(f"{METRIC_SQL} SELECT qid, round(p_at_k, 6) AS p_at_k, round(r_at_k, 6) AS r_at_k, round(coalesce(2 * p_at_k * r_at_k / nullif(p_at_k + r_at_k, 0), 0.0), 6) AS f1_at_k, round(r_precision, 6) AS r_precision, round(rr, 6) AS rr, round(ap, 6) AS ap, round(ndcg, 6) AS ndcg FROM m")
@@ -281,7 +284,8 @@ sq AS (SELECT qid, tok.doc_id, sum(qtf * ln((coalesce(tf, 0) + 200 * bg) / (len(
 {_means("bm25", "sb")}, {_means("tfidf", "st")}, {_means("ql", "sq")} {MEAN("bm25")} UNION ALL {MEAN("tfidf")} UNION ALL {MEAN("ql")}""")
 def ranker_comparison(spark, d):
     own = docs(spark, d)
-    runs = {"bm25": ranking.run_bm25(own, ASKED), "tfidf": ranking.run_tfidf(own, ASKED), "ql": ranking.top_k(ranking.query_likelihood(own, ASKED), 100)}
+    rows = ranking.written(own, ASKED)
+    runs = {"bm25": ranking.run_bm25(own, ASKED, rows=rows), "tfidf": ranking.run_tfidf(own, ASKED), "ql": ranking.top_k(ranking.query_likelihood(own, ASKED, rows=rows), 100)}
     m = evaluation.compare({n: materialise(r, n) for n, r in runs.items()}, judgements(spark, d))
     return m.select("ranker", "n_queries", *[F.round(c, 6).alias(c) for c in evaluation.METRICS])
 
@@ -299,8 +303,10 @@ lr AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY round(sc
 f AS (SELECT qid, doc_id, round(sum(1 / (60 + rank)), 6) AS score FROM (SELECT * FROM b UNION ALL SELECT * FROM lr) GROUP BY qid, doc_id)
 SELECT qid, doc_id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM f QUALIFY rank <= 10""")
 def rrf_hybrid(spark, d):
-    a = ranking.top_k(ranking.bm25(docs(spark, d), ASKED), 50)
-    b = ranking.top_k(ranking.query_likelihood(docs(spark, d), ASKED), 50)
+    own = docs(spark, d)
+    rows = ranking.written(own, ASKED)
+    a = ranking.top_k(ranking.bm25(own, ASKED, rows=rows), 50)
+    b = ranking.top_k(ranking.query_likelihood(own, ASKED, rows=rows), 50)
     return fusion.reciprocal_rank_fusion([a, b])
 
 
@@ -395,7 +401,8 @@ def two_lists(spark, d) -> list[DataFrame]:
 
 def scored_postings(spark, d, terms: list[str]) -> DataFrame:
     """(term, n, score): BM25 parts of single terms."""
-    own = ranking.bm25(docs(spark, d), {t: t for t in terms}).select(F.col("qid").alias("term"), "doc_id", F.round("score", 6).alias("score"))
+    texts, asked = docs(spark, d), {t: t for t in terms}
+    own = ranking.bm25(texts, asked, rows=ranking.written(texts, asked)).select(F.col("qid").alias("term"), "doc_id", F.round("score", 6).alias("score"))
     return materialise(own.join(compression.numbered(docs(spark, d)), "doc_id").select("term", "n", "score"), "scored")
 
 
