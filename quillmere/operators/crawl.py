@@ -67,6 +67,14 @@ def product_cards(pages: DataFrame) -> DataFrame:
     )
 
 
+def pager_links(pages: DataFrame) -> DataFrame:
+    """(page_id, way, target): the links to the page before ("Prev") and after ("Next") in a listing's pager."""
+    inside = F.regexp_extract("html", r'(?s)<div class="pager">(.*?)</div>', 1)
+    to = lambda word: F.nullif(F.regexp_extract(inside, rf'<a href="([^"]*)">[^<]*{word}[^<]*</a>', 1), F.lit(""))
+    found = pages.select("page_id", F.explode(F.array(*[F.struct(F.lit(w).alias("way"), to(w).alias("target")) for w in ("Prev", "Next")])).alias("l"))
+    return found.select("page_id", "l.way", "l.target").filter("target IS NOT NULL")
+
+
 def visible_text(html: Column | str) -> Column:
     """Text without scripts, styles, comments and tags; the five named entities resolved."""
     t = F.regexp_replace(html, r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->", " ")

@@ -7,6 +7,7 @@ or at all text fields with all_text. hits.total counts all hits, not the page. s
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 from functools import reduce
@@ -97,7 +98,7 @@ class SearchIndex:
         words = sorted(set(words) - set(STOP_WORDS))
         if not words:
             return self.docs.select(F.col(self.key).alias("doc_id"), F.lit(0.0).alias("score"))
-        fields = (self.of_kind("text") or [name]) if self.all_text else [name]
+        fields = (self.of_kind("text") or [name]) if self.all_text or name == "_all" else [name]
         fields = [f for f in fields if f in self.docs.columns]
         if not fields:
             return self._hits(F.lit(False))
@@ -166,6 +167,11 @@ class SearchIndex:
         page = [r.asDict() for r in self.page(body).join(self.docs.withColumnRenamed(self.key, "doc_id"), "doc_id").orderBy(F.desc("score"), "doc_id").collect()]
         return {"hits": {"total": {"value": hits.count(), "relation": "eq"}, "max_score": max((r["score"] for r in page), default=None), "hits": page}}
 
+    def hit_records(self, body: Mapping) -> DataFrame:
+        """The page of hits as (doc_id, score, record)."""
+        own = self.docs.select(F.col(self.key).alias("doc_id"), F.struct(*self.docs.columns).alias("record"))
+        return F.broadcast(self.page(body)).join(own, "doc_id")
+
     def count(self, query: Mapping | None = None) -> int:
         return (self.run(query) if query else self.docs).count()
 
@@ -184,15 +190,37 @@ class SearchIndex:
         return SearchIndex(self.docs.filter(~F.col(self.key).isin(keys)), self.mappings, self.key, self.all_text)
 
 
+def url_body(params: Mapping[str, str | list[str]]) -> dict:
+    """The search body that URL parameters stand for: q (the text), df (its field; else all text fields), size, from. Of a repeated one the first counts."""
+    first = {k: v if isinstance(v, str) else v[0] for k, v in params.items() if v}
+    body: dict = {"query": {"match": {first.get("df") or "_all": first["q"]}}} if "q" in first else {}
+    return body | {k: int(first[k]) for k in ("from", "size") if k in first}
+
+
+def token_stream(rows: DataFrame, text: str = "text", key: str = "doc_id", analyzer: str = "standard") -> DataFrame:
+    """(key, position, token, start_offset, end_offset, type) of an analyzer's tokens, explained: offsets are within the token, from 0 to its length."""
+    tokens = rows.select(key, F.posexplode(ANALYZERS[analyzer](text)).alias("position", "token"))
+    return tokens.select(key, "position", "token", F.lit(0).alias("start_offset"), F.length("token").alias("end_offset"), F.lit("<ALPHANUM>").alias("type"))
+
+
 class Catalog:
-    """Indexes by name; tables live under a folder."""
+    """Indexes by name. Their tables and mappings live under a folder, where another session finds them again."""
 
     def __init__(self, spark, root: str):
         self.spark, self.root, self.mapped = spark, root.rstrip("/"), {}
+        notes = [r.value for r in spark.read.text(f"{self.root}/*.mapping").collect()] if self._any() else []  # a row per index
+        for note in map(json.loads, notes):
+            self.mapped[note["name"]] = (note["mappings"], note["key"])
+
+    def _any(self) -> bool:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/*.mapping")
+        return bool(path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path))
 
     def create(self, name: str, docs: DataFrame, mappings: Mapping[str, str], key: str = "doc_id") -> SearchIndex:
         """Write docs as the index (replacing one of that name)."""
         docs.write.mode("overwrite").parquet(f"{self.root}/{name}")
+        note = json.dumps({"name": name, "mappings": dict(mappings), "key": key})
+        self.spark.createDataFrame([(note,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/{name}.mapping")
         self.mapped[name] = (dict(mappings), key)
         return self.get(name)
 
@@ -210,6 +238,7 @@ class Catalog:
         from quillmere.sources.scratch import drop_path
 
         del self.mapped[name]
+        drop_path(self.spark, f"{self.root}/{name}.mapping")
         drop_path(self.spark, f"{self.root}/{name}")
 
     def health(self) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable, Mapping
+from time import perf_counter
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -60,3 +63,33 @@ def synthetic_qrels(docs: DataFrame, queries: dict[str, tuple[str, str]], topic:
     low = docs.select("doc_id", F.col(topic).alias("want"), F.lower(text).alias("low"))
     n = F.size(F.filter("words", lambda w: F.contains(F.col("low"), w)))
     return low.join(asked, "want").select("qid", "doc_id", F.when(n >= 2, 2).otherwise(1).alias("grade"))
+
+
+def timing_stats(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """(by, n, least, most, mean, median) of measured times; nulls are left out."""
+    own = rows.filter(F.col(value).isNotNull()).groupBy(by)
+    return own.agg(F.count("*").alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), F.avg(value).alias("mean"), F.median(value).alias("median"))
+
+
+def stopwatch(spark: SparkSession, stages: Mapping[str, Callable[[], object]], repeats: int = 5) -> DataFrame:
+    """(stage, run, ms): each stage is called `repeats` times, after a first call that is not counted; what it returns is run whole if it is a DataFrame."""
+
+    def once(f) -> float:
+        began = perf_counter()
+        made = f()
+        if isinstance(made, DataFrame):
+            made.write.format("noop").mode("overwrite").save()
+        return (perf_counter() - began) * 1000
+
+    rows = []
+    for name, f in stages.items():
+        once(f)
+        rows += [(name, k, once(f)) for k in range(repeats)]
+    return spark.createDataFrame(rows, "stage string, run int, ms double")
+
+
+def click_log(events: DataFrame, time: str = "ts", kind: str = "event_type", width: str = "hour") -> DataFrame:
+    """(start, views, clicks, rate) of a log of views and clicks, by hour (or another unit); the rate is null without views."""
+    n = lambda k: F.count_if(F.col(kind) == k)
+    own = events.groupBy(F.date_trunc(width, F.col(time)).alias("start")).agg(n("view").alias("views"), n("click").alias("clicks"))
+    return own.withColumn("rate", F.try_divide(F.col("clicks"), F.col("views")))

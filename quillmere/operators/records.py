@@ -24,8 +24,8 @@ def insert_at(rows: DataFrame, at: int, record: dict) -> DataFrame:
     return moved.unionByName(one)
 
 
-def bulk_actions(lines: DataFrame, stream: str = "stream", no: str = "line_no", line: str = "line") -> DataFrame:
-    """(action, id, source) from NDJSON lines of alternating actions and sources; delete has no source. A line is an action if it
+def placed_actions(lines: DataFrame, stream: str = "stream", no: str = "line_no", line: str = "line") -> DataFrame:
+    """(stream, no, action, id, source) from NDJSON lines of alternating actions and sources; delete has no source. A line is an action if it
     holds one at its top; the source is the line after. Streams (files) are worked on apart."""
     parsed = lines.filter(F.trim(line) != "").withColumn("keys", F.json_object_keys(line))
     first = F.get("keys", F.lit(0))
@@ -41,4 +41,21 @@ def bulk_actions(lines: DataFrame, stream: str = "stream", no: str = "line_no",
     action = turn.filter(F.col("kind").isNotNull() & (F.col("turn") % 2 == 1))
     of = F.coalesce(*[F.get_json_object(line, f"$.{a}._id") for a in names])
     source = F.when(takes, F.col("next"))
-    return action.select(F.col("kind").alias("action"), of.alias("id"), F.when(F.col("kind") == "update", F.coalesce(F.get_json_object(source, "$.doc"), source)).otherwise(source).alias("source"))
+    return action.select(F.col(stream).alias("stream"), F.col(no).alias("no"), F.col("kind").alias("action"), of.alias("id"), F.when(F.col("kind") == "update", F.coalesce(F.get_json_object(source, "$.doc"), source)).otherwise(source).alias("source"))
+
+
+def bulk_actions(lines: DataFrame, stream: str = "stream", no: str = "line_no", line: str = "line") -> DataFrame:
+    """(action, id, source) of the actions in NDJSON lines, as placed_actions() pairs them."""
+    return placed_actions(lines, stream, no, line).select("action", "id", "source")
+
+
+def apply_bulk(rows: DataFrame, lines: DataFrame, key: str = "doc_id", **names: str) -> DataFrame:
+    """rows after the bulk lines: index, create and update put the source in place of the whole record of their id, delete takes the record out; the last
+    action of an id counts (in order of stream and line). Fields that the source lacks are null; ids that are null do nothing."""
+    last = placed_actions(lines, **names).filter("id IS NOT NULL").groupBy("id").agg(F.max_by(F.struct("action", "source"), F.struct("stream", "no")).alias("a"))
+    kind = dict(rows.dtypes)
+    others = [c for c in rows.columns if c != key]
+    schema = ", ".join(f"`{c}` {kind[c]}" for c in others)
+    new = last.filter("a.action <> 'delete'").select(F.col("id").cast(kind[key]).alias(key), F.from_json("a.source", schema).alias("s"))
+    kept = rows.join(last.select(F.col("id").cast(kind[key]).alias(key)), key, "left_anti")
+    return kept.select(*rows.columns).unionByName(new.select(key, *[F.col(f"s.`{c}`").alias(c) for c in others]))

@@ -252,6 +252,40 @@ def agreement(found: DataFrame, exact: DataFrame, key: str | list[str] = "vec_id
     return hit.agg(F.count("hit").alias("agreed"), F.count("*").alias("asked"), (F.count("hit") == F.count("*")).alias("same"))
 
 
+# --- named collections --------------------------------------------------------------------------------------------
+
+
+class Collections:
+    """Vector tables by name under a folder: recreated, added to and searched. A collection holds vectors of one size, which it checks."""
+
+    def __init__(self, spark: SparkSession, root: str, key: str = "vec_id", vector: str = "embedding"):
+        self.spark, self.root, self.key, self.vector = spark, root.rstrip("/"), key, vector
+
+    def recreate(self, name: str, kind: str = "bigint") -> None:
+        """An empty collection; one of that name is replaced. kind: the keys' type."""
+        self.spark.createDataFrame([], f"{self.key} {kind}, {self.vector} array<float>").write.mode("overwrite").parquet(f"{self.root}/{name}")
+
+    def insert(self, name: str, rows: DataFrame) -> None:
+        """Add vectors; rows without one are left out. All must have the same size as those that are there."""
+        own = self.rows(name)
+        new = present(rows, self.vector).select(F.col(self.key).cast(dict(own.dtypes)[self.key]), F.col(self.vector).cast("array<float>"))
+        size = lambda df: df.select(F.size(self.vector).alias("s"))
+        found = size(own).limit(1).unionByName(size(new)).agg(F.min("s").alias("low"), F.max("s").alias("high")).first()
+        if found.low != found.high:
+            raise ValueError(f"vectors of {found.low} and of {found.high} numbers in {name}")
+        new.write.mode("append").parquet(f"{self.root}/{name}")
+
+    def rows(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/{name}")
+
+    def count(self, name: str) -> int:
+        return self.rows(name).count()
+
+    def search(self, name: str, query: list[float], k: int) -> DataFrame:
+        """(key, score): exact."""
+        return exact_top_k(self.rows(name), query, k, self.key, self.vector)
+
+
 # --- a small semantic search engine -------------------------------------------------------------------------------
 
 
@@ -276,6 +310,7 @@ class SemanticSearch:
         self.records, self.text_field, self.id_field, self.model = records, text_field, id_field, model
         self.table: DataFrame | None = None
         self.missing: DataFrame | None = None
+        self.cells: tuple[IvfPq, DataFrame] | None = None
 
     def record_text(self) -> Column:
         """The first that is not blank of the chosen field and the fallbacks."""
@@ -283,8 +318,8 @@ class SemanticSearch:
         texts = [F.col(n).cast("string") for n in names]
         return F.coalesce(*[F.when(F.trim(t) != "", t) for t in texts], F.lit("")) if texts else F.lit("")
 
-    def build(self, path: str) -> SemanticSearch:
-        """Embed all records once and write the table (overwriting it) under path."""
+    def build(self, path: str, index: bool = False) -> SemanticSearch:
+        """Embed all records once and write the table (overwriting it) under path; with index also an inverted file, which searches without a category then read."""
         model = self.model
 
         @F.pandas_udf("array<float>")
@@ -298,12 +333,18 @@ class SemanticSearch:
         rows = self.records.withColumn("_text", self.record_text())
         rows.filter("_text = ''").select(self.id_field).write.mode("overwrite").parquet(f"{path}/missing")
         rows.filter("_text <> ''").withColumn("_vector", embed("_text")).write.mode("overwrite").parquet(f"{path}/vectors")
-        note = json.dumps({"text_field": self.text_field, "id_field": self.id_field})
+        cells = IvfPq.fit(table := spark.read.parquet(f"{path}/vectors"), PARTITIONS, STRETCHES, CODES, vector="_vector", key=self.id_field) if index else None
+        if cells:
+            cells.write(table, f"{path}/cells", "_vector", self.id_field)
+        held = {"centres": cells.centres.tolist(), "books": cells.books.tolist()} if cells else None
+        note = json.dumps({"text_field": self.text_field, "id_field": self.id_field, "index": held})
         spark.createDataFrame([(note,)], "note string").coalesce(1).write.mode("overwrite").text(f"{path}/note")
         return self._read(spark, path)
 
     def _read(self, spark: SparkSession, path: str) -> SemanticSearch:
         self.table, self.missing = spark.read.parquet(f"{path}/vectors"), spark.read.parquet(f"{path}/missing")
+        held = json.loads(spark.read.text(f"{path}/note").first()[0]).get("index")
+        self.cells = (IvfPq(np.array(held["centres"]), np.array(held["books"])), spark.read.parquet(f"{path}/cells")) if held else None
         return self
 
     @classmethod
@@ -314,9 +355,14 @@ class SemanticSearch:
         return cls(table.drop("_text", "_vector"), note["text_field"], note["id_field"], model)._read(spark, path)
 
     def search(self, query: str, k: int = 5, category: str | None = None) -> DataFrame:
-        """All columns of the best k records, and score. A blank query or an unknown category finds nothing."""
+        """All columns of the best k records, and score. A blank query or an unknown category finds nothing. With a category, or without an index, all vectors that are
+        left are scored; else those of the cells near the query."""
         if self.table is None:
             raise RuntimeError("build() or load() first")
+        if self.cells and category is None and query.strip():
+            model, cells = self.cells
+            best = model.search(cells, [float(x) for x in self.model(query)], k, vector="_vector", key=self.id_field)
+            return self.table.drop("_vector", "_text").join(F.broadcast(best), self.id_field).orderBy(F.desc("score"), self.id_field).limit(k)  # k rows are broadcast
         rows = self.table if category is None else self.table.filter(F.col("category") == category)
         if not query.strip():
             rows = rows.limit(0)

@@ -12,6 +12,7 @@ from quillmere.functions.analyzers import standard, tokens_of
 from quillmere.operators import boolean, compression, crawl, evaluation, fusion, learning, near_duplicates, ranking, records, text_stats, vectors
 from quillmere.operators import index as ix
 from quillmere.operators.dsl import SearchIndex
+from quillmere.plans import services
 from quillmere.sources import formats
 from quillmere.sources.scratch import materialise, scratch_path
 from quillmere.streaming import tail
@@ -315,13 +316,14 @@ def learned_ranker(spark, d):
     """Two-stage ranking: BM25 candidates, reranked by a pairwise model of three scores."""
     own = docs(spark, d)
     first = bm25_run(spark, d)
-    scores = [("bm25", ranking.bm25), ("tfidf", ranking.tfidf), ("ql", ranking.query_likelihood)]
+    read = ranking.written(own, ASKED)
+    scores = {"bm25": ranking.bm25(own, ASKED, rows=read), "tfidf": ranking.tfidf(own, ASKED), "ql": ranking.query_likelihood(own, ASKED, rows=read)}
     rows = first.select("qid", "doc_id")
-    for name, f in scores:
-        rows = rows.join(fusion.min_max(f(own, ASKED)).select("qid", "doc_id", F.col("score").alias(name)), ["qid", "doc_id"], "left").fillna(0.0, [name])
+    for name, own_scores in scores.items():
+        rows = rows.join(fusion.min_max(own_scores).select("qid", "doc_id", F.col("score").alias(name)), ["qid", "doc_id"], "left").fillna(0.0, [name])
     rows = materialise(rows, "features")
     judged = rows.join(judgements(spark, d), ["qid", "doc_id"])
-    weights = learning.pairwise_ranker(judged, [n for n, _ in scores])
+    weights = learning.pairwise_ranker(judged, list(scores))
     return fusion.two_stage(first, learning.rank_with(rows, weights)).select("qid", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -740,3 +742,6 @@ def url_frontier(spark, d):
     p = table(spark, d, "pages")
     return crawl.frontier(p.filter("page_id % 3 <> 0").select("url"), p.filter("page_id % 3 = 0").select("url"))
 
+
+QUERIES |= services.QUERIES
+SQL |= services.SQL
