@@ -663,13 +663,30 @@ def robots_filter(spark, d):
     return crawl.robots_filter(table(spark, d, "pages").select("url"), rules)
 
 
-@query()
+def _rounds(n: int) -> str:
+    """PageRank's rounds, as one common table expression each."""
+    one = "r{b} AS MATERIALIZED (SELECT node, deg, 0.15 / n + 0.85 * (coalesce(got, 0) + lost / n) AS rank FROM nd LEFT JOIN (SELECT dst AS node, sum(rank / deg) AS got FROM ed JOIN r{a} ON node = src GROUP BY dst) USING (node), (SELECT coalesce(sum(rank) FILTER (deg = 0), 0) AS lost FROM r{a}), cn)"
+    return ", ".join(one.format(a=k, b=k + 1) for k in range(n))
+
+
+@query(rf"""WITH {LINKS}, ed AS MATERIALIZED (SELECT DISTINCT lower(regexp_extract(target, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) AS src, regexp_extract(target, '([^/]*)/?$', 1) AS dst FROM lk),
+nd AS MATERIALIZED (SELECT node, count(ed.src) AS deg FROM (SELECT src AS node FROM ed UNION SELECT dst FROM ed) LEFT JOIN ed ON ed.src = node GROUP BY node), cn AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM nd),
+r0 AS (SELECT node, deg, 1 / n AS rank FROM nd, cn), {_rounds(10)} SELECT node, round(rank, 9) AS rank FROM r10""")
 def pagerank(spark, d):
     edges = crawl.links(table(spark, d, "pages")).select(crawl.host(F.col("target")).alias("src"), F.regexp_extract("target", r"([^/]*)/?$", 1).alias("dst"))
     return crawl.pagerank(edges).select("node", F.round("rank", 9).alias("rank"))
 
 
-@query()
+def _entities(text: str) -> str:
+    for name, c in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("nbsp", " "), ("amp", "&")):
+        text = f"replace({text}, '&{name};', '{c}')"
+    return text
+
+
+_TAGLESS = r"regexp_replace(regexp_replace(html, '<script.*?</script>|<style.*?</style>|<!--.*?-->', ' ', 'gis'), '<[^>]*>', ' ', 'g')"
+
+
+@query(rf"SELECT page_id, trim(regexp_replace({_entities(_TAGLESS)}, '\s+', ' ', 'g')) AS text FROM pages")
 def visible_text(spark, d):
     return table(spark, d, "pages").select("page_id", crawl.visible_text("html").alias("text"))
 
