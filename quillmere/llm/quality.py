@@ -9,7 +9,7 @@ as the one before labels them. Transitions have a prior of their own, as chains
 lines of every whole document; the share of its words in content lines decides.
 
 Defined results: null or empty text: no words, base_failed. Null doc_id: kept. Repeated rows: a row each. Empty table:
-no rows. No usable labels (missing class or empty table): a field of fixed weights, FALLBACK. Other columns are ignored.
+no rows. No usable labels (missing class or empty table): a field of fixed weights, FALLBACK. Very long texts: read and labelled whole, one at a time (the sample's bounds are for training alone). Other columns are ignored.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ other radii larger buckets are split by blocks whose pairs are compared.) Compon
 and small-star steps, each cut by a written table; the number of edges never grows.
 
 Defined results: null or wordless text: fingerprint zero, linked like any other. Null doc_id: takes part; not a component's
-name unless all its ids are null. Repeated rows: a row each. Empty table: no rows. Other columns are ignored.
+name unless all its ids are null. Repeated rows: a row each. Empty table: no rows. Very long texts: read whole, one at
+a time. Other columns are ignored.
 """
 
 from __future__ import annotations
