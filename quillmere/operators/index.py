@@ -15,17 +15,25 @@ def tokenised(docs: DataFrame, text: str = "text", analyzer=plain) -> DataFrame:
     return docs.select("doc_id", analyzer(text).alias("tokens"))
 
 
+def by_document(docs: DataFrame) -> DataFrame:
+    """docs dealt by doc_id, the key of a document: what is then counted for documents and terms needs no further shuffle, and texts are smaller than the
+    counts of their terms."""
+    return docs.select("doc_id", "text").repartition("doc_id")
+
+
 def term_frequencies(docs: DataFrame, terms: list[str] | None = None, analyzer=plain) -> DataFrame:
-    """(term, doc_id, tf). With terms, other tokens are dropped before the shuffle."""
+    """(term, doc_id, tf). With terms, other tokens are dropped before the shuffle, which then is one of counts; without, texts are shuffled and not counts."""
     tokens = analyzer("text")
     if terms is not None:
         tokens = F.filter(tokens, lambda t: t.isin(*terms) if terms else F.lit(False))
-    return docs.select("doc_id", F.explode(tokens).alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+    rows = docs if terms is not None else by_document(docs)
+    return rows.select("doc_id", F.explode(tokens).alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
 
 
 def positions(docs: DataFrame, analyzer=plain) -> DataFrame:
     """(term, doc_id, positions): sorted places from 0."""
-    return docs.select("doc_id", F.posexplode(analyzer("text")).alias("at", "term")).groupBy("term", "doc_id").agg(F.array_sort(F.collect_list("at")).alias("positions"))
+    rows = by_document(docs).select("doc_id", F.posexplode(analyzer("text")).alias("at", "term"))
+    return rows.groupBy("term", "doc_id").agg(F.array_sort(F.collect_list("at")).alias("positions"))
 
 
 def postings(tf: DataFrame) -> DataFrame:

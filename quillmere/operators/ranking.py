@@ -94,15 +94,18 @@ def tfidf(docs: DataFrame, queries: Mapping[str, str], analyzer=plain, zero_norm
     document, so all tf are needed; scores of 0 or less are dropped. Where a norm is zero the score is 0, or zero_norm stands for the norm."""
     from quillmere.operators.index import term_frequencies, term_stats
 
-    tf = materialise(term_frequencies(docs, analyzer=analyzer), "tf")
+    # the texts are tokenised twice, for the terms' df and for the weights: cheaper than to write every tf and to shuffle it by document again
+    df = materialise(term_stats(term_frequencies(docs, analyzer=analyzer)).select("term", "df"), "df")
     n = F.broadcast(docs.agg(F.count("*").alias("n")))
-    weights = tf.join(term_stats(tf).select("term", "df"), "term").crossJoin(n).select("term", "doc_id", ((1 + F.log("tf")) * idf(F.col("n"), F.col("df"))).alias("w"), idf(F.col("n"), F.col("df")).alias("wq"))
+    known = df.crossJoin(n).select("term", idf(F.col("n"), F.col("df")).alias("wq"))
+    weights = term_frequencies(docs, analyzer=analyzer).join(known, "term").select("term", "doc_id", ((1 + F.log("tf")) * F.col("wq")).alias("w"), "wq")
     asked = query_terms(docs, queries).select("qid", "term")
     terms = sorted({t for q in queries.values() for t in tokens_of(q)})
-    own = F.collect_list(F.when(F.col("term").isin(*terms) if terms else F.lit(False), F.struct("term", "w", "wq")))
+    is_asked = F.col("term").isin(*terms) if terms else F.lit(False)
+    own = F.collect_list(F.when(is_asked, F.struct("term", "w", "wq")))
     per_doc = weights.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), own.alias("own")).filter(F.size("own") > 0)
     hits = per_doc.select("doc_id", "norm", F.inline("own")).join(asked, "term")
-    q_norm = weights.filter(F.col("term").isin(*terms) if terms else F.lit(False)).select("term", "wq").distinct().join(asked, "term").groupBy("qid").agg(F.sqrt(F.sum(F.col("wq") * F.col("wq"))).alias("q_norm"))
+    q_norm = known.filter(is_asked).join(asked, "term").groupBy("qid").agg(F.sqrt(F.sum(F.col("wq") * F.col("wq"))).alias("q_norm"))
     dots = hits.groupBy("qid", "doc_id", "norm").agg(F.sum(F.col("w") * F.col("wq")).alias("dot"))
     length = lambda c: F.col(c) if zero_norm is None else F.when(F.col(c) == 0, zero_norm).otherwise(F.col(c))
     score = F.coalesce(F.try_divide(F.col("dot"), length("norm") * length("q_norm")), F.lit(0.0))
