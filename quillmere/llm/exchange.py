@@ -5,9 +5,10 @@ Documents are dealt to chunks by a hash of the row and of its place in the input
 bucket answers each chunk that asked. A hash goes out once per chunk however often it stands there, so neither copies nor common
 passages make a task or a group large. The documents are shuffled once: every step reads the same exchange.
 
-Messages travel in packets. A group sends at most `FAN` packets, whatever the number of receivers: while there are more receivers than that, a packet
-goes to a hop, which takes the packets of `FAN` senders for one stretch of the receivers and sends them on to at most FAN smaller stretches. So
-there are at most FAN rows for each chunk and hop, in proportion to the input, and one hop more for every factor of FAN.
+Messages travel in packets. A group sends at most `FAN` packets, whatever the number of receivers: while there are more groups than that, a packet
+goes to a hop, which takes the packets of some senders for one stretch of the receivers and sends them on to as many smaller stretches. With n
+groups and k steps a hop takes n^(1/k) senders and each sender has n^(1/k) stretches, so that a hop holds about what one sender sends, never more
+than max(senders, receivers) / receivers times that. There are at most FAN rows for each chunk and hop, and one hop more for every factor of FAN.
 """
 
 from __future__ import annotations
@@ -172,9 +173,11 @@ class Network:
     """Packets between `senders` and `receivers` groups, numbered from 0."""
 
     def __init__(self, senders: int, receivers: int, fan: int = FAN):
-        self.fan, self.levels = fan, 1
-        while fan**self.levels < max(senders, receivers):
+        self.levels, self.fan, most = 1, 1, max(senders, receivers)
+        while fan**self.levels < most:
             self.levels += 1
+        while self.fan**self.levels < most:  # no wider than it must be: a hop joins `fan` senders for one of `fan` stretches
+            self.fan += 1
 
     def packets(self, messages: list[Message], level: int = 0) -> pa.Table:
         """The rows that a group sends: at most `fan`."""

@@ -34,7 +34,7 @@ BASE = 0x9E3779B97F4A7C15
 SECTION = 1 << 20
 CACHE_WORDS = 400_000
 #: Input megabytes for each bucket, from MIN_BUCKETS buckets on.
-BUCKET_MB, MIN_BUCKETS = 24, 64
+BUCKET_MB, MIN_BUCKETS = 8, 64
 #: Places of windows are told apart by this many bits within a section.
 PLACE_BITS = 21
 #: An anchor counts as common from so many occurrences on (by lower bounds of the chunks' counts).

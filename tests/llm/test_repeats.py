@@ -129,6 +129,18 @@ def test_packets_are_bounded_for_each_sender_and_hop():
     assert got == {m[:2]: m[3] for m in sent}
 
 
+@pytest.mark.parametrize(("senders", "receivers"), [(1000, 750), (750, 1000), (1000, 250), (40_000, 30_000)])
+def test_a_hop_holds_no_more_than_few_senders(senders, receivers):
+    """However many senders there are, a hop gets about as much as one of them sends (here: a byte for each receiver)."""
+    net = exchange.Network(senders, receivers, 512)
+    held: dict = {}
+    for by in range(2 * net.fan):
+        own = net.packets([(to, by, 0, b"x") for to in range(receivers)])
+        for goal, origin, blob in zip(*(own.column(c).to_pylist() for c in ("goal", "origin", "blob")), strict=True):
+            held[goal, origin] = held.get((goal, origin), 0) + int.from_bytes(blob[:4], "little")
+    assert net.levels == 2 and max(held.values()) <= 1.1 * max(senders, receivers)
+
+
 def test_many_equal_rows_are_spread(spark):
     text = " ".join(f"w{k}" for k in range(40))
     docs = [(1, text)] * 400 + [(2, "x " + text), (3, "a b")]
