@@ -24,7 +24,8 @@ from quillmere.llm.batches import id_text, release, schema_of
 from quillmere.sources.scratch import input_bytes, materialise, parts_for
 
 CHUNK_MB = 6
-FAN = 512
+#: A hop writes what is exchanged once more, so none is taken before the rows, chunks times buckets, are many: with chunks of 3 MB from 49 GB on.
+FAN = 1 << 14
 WIDE = np.uint64(0xFFFFFFFFFFFFFFFF)
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 

@@ -141,6 +141,13 @@ def test_a_hop_holds_no_more_than_few_senders(senders, receivers):
     assert net.levels == 2 and max(held.values()) <= 1.1 * max(senders, receivers)
 
 
+@pytest.mark.parametrize("part", [substrings, suffixes])
+def test_no_hop_up_to_30_gb(part):
+    """A hop writes all that is exchanged once more; up to here the disk limit leaves no room for that."""
+    mb = getattr(part, "CHUNK_MB", exchange.CHUNK_MB)
+    assert exchange.Network(int(30e3 / mb) + 1, int(30e3 / part.BUCKET_MB) + 1).levels == 1
+
+
 def test_many_equal_rows_are_spread(spark):
     text = " ".join(f"w{k}" for k in range(40))
     docs = [(1, text)] * 400 + [(2, "x " + text), (3, "a b")]
