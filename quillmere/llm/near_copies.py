@@ -1,8 +1,11 @@
-"""Near copies by five-word shingles: Jaccard similarity of 0.8 or more.
+"""Near copies by SimHash and covering masks, checked exactly: five-word Jaccard similarity of 0.8 or more.
 
 A text's set holds the 32-bit hashes of its runs of five words (ASCII lower case, cut at white space; a shorter text is one run). Texts with
-equal sets are one class. MinHash signatures in 25 bands of 5 rows propose pairs of classes: a pair at similarity 0.8 shares no band once in
-20,000 times, more similar ones less often. Every proposed pair that can join two groups is compared by its whole sets.
+equal sets are one class. A class's SimHash fingerprint is the majority of its set's hashes; under the covering masks of `simhash.masks` (radius 2: seven
+tables) any two classes whose fingerprints differ in two or fewer bits meet in a bucket. Fingerprints at a similarity of 0.8 differ in some 10
+bits of 64, which no practical cover reaches, so further buckets are added for the pairs beyond the radius: MinHash signatures in 25 bands of 5
+rows (a pair at similarity 0.8 shares no band once in 20,000 times, more similar ones less often). Every pair that meets in a bucket of either kind
+and can join two groups is compared by its whole sets.
 
 A bucket of over three members has a centre: of its classes the one whose own buckets are the fullest. All members are compared with the centre
 (in smaller buckets all with all). Components of these links are groups; then members outside the centre's group are compared with the
@@ -27,11 +30,14 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from quillmere.llm.batches import pairs, release, schema_of
 from quillmere.llm.exchange import mix, powers, rolled
-from quillmere.llm.simhash import LOWER, SEED, components
+from quillmere.llm.simhash import LOWER, SEED, components, majority, masks
 from quillmere.sources.scratch import discard, materialise
 from quillmere.sources.ship import ship
 
 SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 25, 5
+#: Differing bits of fingerprints up to which the covering masks find every pair, and the masks.
+RADIUS = 2
+COVER = np.array(masks(RADIUS), np.int64)
 BASE = 0x9E3779B97F4A7C15
 SALTS, FACTORS = (mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(BASE))[k::2] for k in range(2))
 FACTORS = FACTORS | np.uint64(1)
@@ -59,6 +65,16 @@ def band_keys(own: np.ndarray) -> np.ndarray:
     return mix(band).view(np.int64)
 
 
+def cover_keys(own: np.ndarray) -> np.ndarray:
+    """A key for each covering mask: the bits of the set's SimHash fingerprint that it holds."""
+    return COVER & np.int64(majority(mix(own.astype(np.uint64) * np.uint64(BASE))))
+
+
+def bucket_keys(own: np.ndarray) -> np.ndarray:
+    """The keys of a set's buckets: those of the covering masks, then those of the MinHash bands; none of an empty set."""
+    return np.concatenate([cover_keys(own), band_keys(own)]) if len(own) else np.zeros(0, np.int64)
+
+
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     """Of sorted distinct values."""
     both = len(np.intersect1d(a, b, assume_unique=True))
@@ -76,7 +92,7 @@ def marked(docs: DataFrame, extra: Column) -> DataFrame:
         for b in batches:
             sets = [shingle_set(t) for _, t in pairs(b)]
             names = [xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets]
-            keys = [band_keys(s) if len(s) else np.zeros(0, np.int64) for s in sets]
+            keys = [bucket_keys(s) for s in sets]
             columns = [b.column(0), b.column(2), pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array([s.tobytes() for s in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "extra", "class", "keys", "own"])
         release()

@@ -46,11 +46,15 @@ def fingerprint(text: bytes, k: int = SHINGLE) -> int:
     digest = xxhash.xxh64_intdigest
     shingles = map(b" ".join, zip(*(words[j:] for j in range(k)), strict=False)) if len(words) >= k else [b" ".join(words)]
     n = max(len(words) - k + 1, 1)
-    h = np.fromiter((digest(s, SEED) for s in shingles), np.uint64, n)
+    return majority(np.fromiter((digest(s, SEED) for s in shingles), np.uint64, n))
+
+
+def majority(h: np.ndarray) -> int:
+    """The 64 bits that are set in over half of the hashes, as a signed value; zero without hashes."""
     sums = np.zeros(64, np.int64)
-    for a in range(0, n, 1 << 16):
+    for a in range(0, len(h), 1 << 16):
         sums += np.unpackbits(h[a : a + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * sums > n, bitorder="little").view("<i8")[0])
+    return int(np.packbits(2 * sums > len(h), bitorder="little").view("<i8")[0])
 
 
 def fingerprints(docs: DataFrame, k: int = SHINGLE, extra: Column | None = None) -> DataFrame:

@@ -26,8 +26,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts that five-word shingles link at similarity 0.8 or more: the one with the group's smallest
-    doc_id (of several such, that of the smallest text hash)."""
+    """One document of each group of texts that five-word shingles link at similarity 0.8 or more (pairs by SimHash fingerprints under covering
+    masks, and beyond their radius by MinHash bands): the one with the group's smallest doc_id (of several such, that of the smallest text hash)."""
     groups = near_copies.groups(docs, F.xxhash64("text"))
     chosen = groups.groupBy("group").agg(F.min(F.struct("doc_id", "extra")).alias("one")).select(F.col("one.doc_id").alias("_id"), F.col("one.extra").alias("_hash")).distinct()
     on = F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash"))

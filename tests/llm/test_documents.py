@@ -519,6 +519,27 @@ def test_crowded_near_copies_equal_brute_force(spark):
     assert sorted(map(sorted, found.values())) == sorted(map(sorted, want.values()))
 
 
+def test_near_copies_meet_by_simhash(spark):
+    """Sets whose fingerprints differ in two or fewer bits share the key of a covering mask, whatever their MinHash bands say."""
+    from quillmere.llm import near_copies
+    from quillmere.llm.exchange import mix
+
+    r = random.Random(5)
+    texts = []
+    for _ in range(15):
+        words = [f"w{r.randrange(5000)}" for _ in range(1500)]
+        for k in range(4):
+            texts.append(" ".join([*words[: 1500 - k], *(f"x{r.randrange(5000)}" for _ in range(k))]))
+    sets = [near_copies.shingle_set(t.encode()) for t in texts]
+    rows = near_copies.marked(frame(spark, list(enumerate(texts))), F.lit(0)).select("doc_id", "keys").collect()
+    keys = {x.doc_id: x["keys"] for x in rows}
+    cover = len(simhash.masks(near_copies.RADIUS))
+    prints = [simhash.majority(mix(s.astype(np.uint64) * np.uint64(near_copies.BASE))) for s in sets]
+    within = [(a, b) for a in range(len(sets)) for b in range(a) if ((prints[a] ^ prints[b]) & (1 << 64) - 1).bit_count() <= near_copies.RADIUS]
+    assert len(within) > 20 and all(len(k) == cover + near_copies.BANDS for k in keys.values())
+    assert all(any(x == y for x, y in zip(keys[a][:cover], keys[b][:cover], strict=True)) for a, b in within)
+
+
 def test_registry():
     from quillmere.llm import registry
 
