@@ -5,7 +5,8 @@ equal sets are one class. A class's SimHash fingerprint is the majority of its s
 tables) any two classes whose fingerprints differ in two or fewer bits meet in a bucket. Fingerprints at a similarity of 0.8 differ in some 10
 bits of 64, which no practical cover reaches, so further buckets are added for the pairs beyond the radius: MinHash signatures in 25 bands of 5
 rows (a pair at similarity 0.8 shares no band once in 20,000 times, more similar ones less often). Every pair that meets in a bucket of either kind
-and can join two groups is compared by its whole sets.
+and can join two groups is compared by its whole sets. Groups are the components of these links: stars of the links that one task
+holds, then large-star, small-star.
 
 A bucket of over three members has a centre: of its classes the one whose own buckets are the fullest. All members are compared with the centre
 (in smaller buckets all with all). Components of these links are groups; then members outside the centre's group are compared with the
@@ -38,6 +39,8 @@ SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 25, 5
 #: Differing bits of fingerprints up to which the covering masks find every pair, and the masks.
 RADIUS = 2
 COVER = np.array(masks(RADIUS), np.int64)
+#: Links that one task turns into stars.
+TOGETHER = 1 << 20
 BASE = 0x9E3779B97F4A7C15
 SALTS, FACTORS = (mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(BASE))[k::2] for k in range(2))
 FACTORS = FACTORS | np.uint64(1)
@@ -111,6 +114,7 @@ def verified(proposed: DataFrame, sets: DataFrame, similarity: float) -> DataFra
             x, y = t.column("x"), t.column("y")
             near = pa.array([jaccard(whole(p), whole(q)) >= similarity for p, q in zip(x, y, strict=True)], pa.bool_())
             yield t.select(["a", "b"]).filter(near)
+        release()
 
     return proposed.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
@@ -149,6 +153,7 @@ def parts(near: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
             columns = [t.column(c).take(at) for c in ("centre", "class", "root", "outside")]
             columns += [np.repeat(sizes, reps), np.repeat(differs, reps), np.concatenate([np.zeros(0, np.int64), *rest]), np.concatenate([np.zeros(0, np.uint32), *values])]
             yield pa.RecordBatch.from_arrays([pa.array(c).cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+        release()
 
     return whole.select("centre", "class", "root", "outside", "own", "middle").mapInArrow(run, schema)
 
@@ -166,13 +171,44 @@ def across(parts: DataFrame, similarity: float) -> DataFrame:
     return pair.select(F.least("classx", "classy").alias("a"), F.greatest("classx", "classy").alias("b")).distinct()
 
 
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node of its component) of all nodes of the links (a, b) but the smallest ones themselves."""
+    nodes, own = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = own[: len(a)], own[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        p, q = label[x], label[y]
+        apart = p != q
+        if not apart.any():
+            break
+        np.minimum.at(label, np.maximum(p, q)[apart], np.minimum(p, q)[apart])
+        while (after := label[label]).tobytes() != label.tobytes():
+            label = after
+    far = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[far], nodes[label[far]]
+
+
+def contracted(links: DataFrame, together: int = TOGETHER) -> DataFrame:
+    """Links (a, b) with the same components: stars of about `together` links at a time, so that few rounds are left for large-star, small-star."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if ends:
+            a, b = stars(*(np.concatenate(c) for c in zip(*ends, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        release()
+
+    return links.coalesce(links.count() // together + 1).mapInArrow(run, "a bigint, b bigint")
+
+
 def groups(docs: DataFrame, extra: Column, similarity: float = SIMILAR) -> DataFrame:
     """doc_id, extra (a long of the caller's), group of every document; group is a class of the group."""
     rows = materialise(marked(docs, extra), "marked")
     keyed = rows.select("class", "keys").dropDuplicates(["class"]).select("class", F.posexplode("keys").alias("band", "key"))
     ends = keyed.groupBy("band", "key").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("n")).filter("n > 1")
     met = materialise(keyed.join(ends, ["band", "key"]), "met")
-    sets = materialise(rows.select("class", "own").join(met.select("class").distinct(), "class", "left_semi").dropDuplicates(["class"]), "sets")
+    one = rows.select("class", "own").dropDuplicates(["class"])  # before the join, so that copies don't meet in one task
+    sets = materialise(one.join(met.select("class").distinct(), "class", "left_semi"), "sets")
     crowd = met.filter("n > 3").select("band", "key", "class", "n")
     full = crowd.groupBy("class").agg(F.sum("n").alias("full"))
     centres = crowd.join(full, "class").groupBy("band", "key").agg(F.max_by("class", F.struct("full", "class")).alias("centre"))
@@ -180,7 +216,7 @@ def groups(docs: DataFrame, extra: Column, similarity: float = SIMILAR) -> DataF
     small = met.filter("n <= 3").select(F.explode(F.array(F.struct(F.col("class").alias("a"), F.col("low").alias("b")), F.struct(F.col("high").alias("a"), F.col("class").alias("b")))).alias("p"))
     stars = small.select("p.*").filter("a <> b").unionByName(near.select(F.col("class").alias("a"), F.col("centre").alias("b"))).distinct()
     links = materialise(verified(stars, sets, similarity), "links")
-    roots = components(links)
+    roots = components(contracted(links))
     top = roots.select(F.col("node").alias("centre"), F.col("root").alias("top"))
     own = near.join(roots.withColumnRenamed("node", "class"), "class", "left").join(top, "centre", "left")
     own = materialise(own.select("centre", "class", F.coalesce("root", "class").alias("root"), (F.coalesce("root", "class") != F.coalesce("top", "centre")).alias("outside")), "own")
@@ -188,7 +224,7 @@ def groups(docs: DataFrame, extra: Column, similarity: float = SIMILAR) -> DataF
     prefixes = materialise(parts(mixed, sets, similarity), "prefixes")
     rest = materialise(verified(across(prefixes, similarity), sets, similarity), "links")
     if not rest.isEmpty():
-        roots = components(links.unionByName(rest).distinct())
+        roots = components(contracted(links.unionByName(rest)))
     for table in (met, sets, near, own, prefixes):
         discard(table)
     return rows.join(roots, F.col("class") == F.col("node"), "left").select("doc_id", "extra", F.coalesce("root", "class").alias("group"))

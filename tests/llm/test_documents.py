@@ -540,6 +540,23 @@ def test_near_copies_meet_by_simhash(spark):
     assert all(any(x == y for x, y in zip(keys[a][:cover], keys[b][:cover], strict=True)) for a, b in within)
 
 
+@pytest.mark.parametrize("together", [1 << 20, 7])
+def test_contracted_links_keep_components(spark, together):
+    from quillmere.llm import near_copies
+
+    r = random.Random(together)
+    links = [(r.randrange(300) - 150, r.randrange(300) - 150) for _ in range(120)] + [(k, k + 1) for k in range(1000, 1060)]
+    links = [p for p in links if p[0] != p[1]]
+    label = {v: v for p in links for v in p}
+    for a, b in links:
+        old, new = max(label[a], label[b]), min(label[a], label[b])
+        label = {v: new if x == old else x for v, x in label.items()}
+    edges = near_copies.contracted(spark.createDataFrame(links, "a bigint, b bigint"), together)
+    got = {x.node: x.root for x in simhash.components(edges).collect()}
+    assert {v: got.get(v, v) for v in label} == label
+    assert near_copies.contracted(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
 def test_registry():
     from quillmere.llm import registry
 
