@@ -35,8 +35,9 @@ CHUNK_MB = 3
 #: Input megabytes for each bucket, from MIN_BUCKETS buckets on.
 BUCKET_MB, MIN_BUCKETS = 6, 128
 PLACE_BITS = 20
-#: An anchor counts as common from so many occurrences on (by lower bounds of the chunks' counts).
-COMMON = 512
+#: An anchor counts as common from so many occurrences on (by lower bounds of the chunks' counts): its starts take some 30 times the room of its
+#: segments, and so many segments are still little for a bucket.
+COMMON = 1 << 14
 NO_ID = -(1 << 63)
 BASE = 0x9E3779B97F4A7C15
 _rng = np.random.default_rng(20_24)

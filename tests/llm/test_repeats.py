@@ -148,6 +148,15 @@ def test_no_hop_up_to_30_gb(part):
     assert exchange.Network(int(30e3 / mb) + 1, int(30e3 / part.BUCKET_MB) + 1).levels == 1
 
 
+def test_an_anchor_of_some_hundred_chunks_stays_whole():
+    """Its segments go to one bucket; start by start they would take many times the room."""
+    plan = suffixes.Plan(50, 20, 24, 40, 4, suffixes.COMMON, 600)
+    one = exchange.packed(exchange.np.array([5], exchange.np.uint64), exchange.np.zeros(1, exchange.np.uint8))
+    told = plan.shared(exchange.pa.table({"blob": [exchange.sealed([(0, k, 0, one) for k in range(600)])]}))
+    flags = [exchange.unpacked(m[3])[1].tolist() for m in exchange.opened(told.column("blob").to_pylist())]
+    assert flags == [[0]] * 600
+
+
 def test_many_equal_rows_are_spread(spark):
     text = " ".join(f"w{k}" for k in range(40))
     docs = [(1, text)] * 400 + [(2, "x " + text), (3, "a b")]
