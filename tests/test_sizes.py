@@ -73,4 +73,17 @@ def test_search_is_dealt_by_its_work_and_not_by_files(spark):
     rows = spark.createDataFrame([(k, [float(k % 7), 1.0]) for k in range(4000)], "vec_id long, embedding array<float>").coalesce(1)
     asked = rows.filter("vec_id % 2 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query"))
     assert vectors.dealt(rows, "vec_id", 2000, 1).rdd.getNumPartitions() == 7
+    assert vectors.similarity_matrix(asked.withColumnsRenamed({"qid": "vec_id", "query": "embedding"}), every=rows).rdd.getNumPartitions() == 7
     assert vectors.dealt(rows, "vec_id", 1 << 32, 16).rdd.getNumPartitions() == 4000
+
+
+def test_similarity_matrix_of_odd_vectors(spark):
+    odd = [(1, [3.0, 4.0]), (2, None), (3, [0.0, 0.0]), (4, [1.0, None]), (5, []), (6, [1.0, 2.0, 3.0]), (7, [-4.0, 3.0]), (None, [1.0, 0.0])]
+    rows = spark.createDataFrame(odd, "vec_id long, embedding array<float>")
+    a, b = rows.select(F.col("vec_id").alias("a"), F.col("embedding").alias("va")), rows.select(F.col("vec_id").alias("b"), F.col("embedding").alias("vb"))
+    want = a.crossJoin(b).select("a", "b", F.round(vectors.cosine("va", "vb"), 5).alias("score"))
+    tell = lambda df: sorted(map(repr, map(tuple, df.collect())))
+    got = vectors.similarity_matrix(rows, every=rows)
+    assert tell(got) == tell(want) and got.count() == 64
+    assert tell(vectors.similarity_matrix(rows, every=rows, most_queries=3)) == tell(want)
+    assert vectors.similarity_matrix(rows.limit(0), every=rows).count() == 0
