@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmere.functions.analyzers import plain
+from quillmere.operators.index import by_document, dealt, parts
 from quillmere.sources.ship import ship
 
 SKIP, BLOCK = 32, 128
@@ -31,17 +33,23 @@ def integer_postings(tf: DataFrame, docs: DataFrame) -> DataFrame:
     return tf.join(numbered(docs), "doc_id").select("term", "n")
 
 
+def numbered_postings(docs: DataFrame, analyzer=plain) -> DataFrame:
+    """(term, n) of all terms: integer_postings(), but documents and not their terms meet the numbers."""
+    rows = by_document(docs).join(numbered(docs).hint("merge"), "doc_id").select("doc_id", "n", F.explode(analyzer("text")).alias("term"))
+    return rows.distinct().select("term", "n")
+
+
 def ranked(postings: DataFrame, by: str = "term", n: str = "n", span: int = SPAN) -> DataFrame:
     """postings with `k`, their place in their term's list from 0, and `before`, the posting before (null for the first).
     A term's list is cut into buckets of `span` document numbers: windows run within a bucket, and only a row for each bucket, with its size and largest
     number, meets the other buckets of its term. So no task holds a common term's whole list."""
-    own = postings.withColumn("bucket", F.floor(F.col(n) / span))
+    own = dealt(postings.withColumn("bucket", F.floor(F.col(n) / span)), parts(postings), by, "bucket")
+    size = own.groupBy(by, "bucket").agg(F.count("*").alias("_size"), F.max(n).alias("_last"))
     inner = Window.partitionBy(by, "bucket").orderBy(n)
     own = own.withColumns({"_k": F.row_number().over(inner) - 1, "_lag": F.lag(n).over(inner)})
-    size = postings.groupBy(by, F.floor(F.col(n) / span).alias("bucket")).agg(F.count("*").alias("_size"), F.max(n).alias("_last"))
     outer = Window.partitionBy(by).orderBy("bucket")
-    ahead = size.select(by, "bucket", (F.sum("_size").over(outer) - F.col("_size")).alias("_ahead"), F.lag("_last").over(outer).alias("_end"))
-    return own.join(ahead, [by, "bucket"]).withColumns({"k": (F.col("_ahead") + F.col("_k")).cast("bigint"), "before": F.coalesce("_lag", "_end")}).drop("bucket", "_k", "_lag", "_ahead", "_end")
+    ahead = size.select(by, "bucket", (F.sum("_size").over(outer) - F.col("_size")).alias("_ahead"), F.lag("_last").over(outer).alias("_end")).filter("_end IS NOT NULL")  # of lists in several buckets
+    return own.join(ahead, [by, "bucket"], "left").withColumns({"k": (F.coalesce("_ahead", F.lit(0)) + F.col("_k")).cast("bigint"), "before": F.coalesce("_lag", "_end")}).drop("bucket", "_k", "_lag", "_ahead", "_end")
 
 
 def gaps(postings: DataFrame, by: str = "term", n: str = "n", span: int = SPAN) -> DataFrame:
@@ -99,24 +107,31 @@ def varint_values(data: bytes) -> list[int]:
     return np.add.reduceat((v & 127).astype(np.uint64) << (7 * place).astype(np.uint64), first).tolist()
 
 
+def lists(postings: DataFrame) -> DataFrame:
+    """(term, docs): array postings, sorted."""
+    return dealt(postings, parts(postings), "term").groupBy("term").agg(F.array_sort(F.collect_list("n")).alias("docs"))
+
+
 def compress(postings: DataFrame) -> DataFrame:
-    """(term, packed): gaps as variable-length bytes, from array postings (term, docs)."""
+    """postings with `packed`: gaps as variable-length bytes, from array postings (term, docs)."""
 
     @F.pandas_udf("binary")
     def packed(lists: pd.Series) -> pd.Series:
         return lists.map(lambda v: varint_bytes(np.diff(np.asarray(v, np.int64), prepend=0)))
 
     ship(postings.sparkSession)
-    return postings.select("term", packed("docs").alias("packed"))
+    return postings.withColumn("packed", packed("docs"))
+
 
+def decompress(packed: DataFrame, to: str = "docs") -> DataFrame:
+    """packed with the lists that its bytes stand for in column `to`."""
 
-def decompress(packed: DataFrame) -> DataFrame:
     @F.pandas_udf("array<bigint>")
     def docs(blobs: pd.Series) -> pd.Series:
         return blobs.map(lambda b: np.cumsum(varint_values(b)).astype(np.int64))
 
     ship(packed.sparkSession)
-    return packed.select("term", docs("packed").alias("docs"))
+    return packed.withColumn(to, docs("packed"))
 
 
 def compression_totals(postings: DataFrame) -> DataFrame:

@@ -9,7 +9,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillmere.operators import vectors
+from quillmere.operators import compression, ranking, vectors
+from quillmere.operators import index as ix
+from quillmere.sources.scratch import file_bytes
 
 
 def arrow(x, start=0, **more):
@@ -87,3 +89,52 @@ def test_similarity_matrix_of_odd_vectors(spark):
     assert tell(got) == tell(want) and got.count() == 64
     assert tell(vectors.similarity_matrix(rows, every=rows, most_queries=3)) == tell(want)
     assert vectors.similarity_matrix(rows.limit(0), every=rows).count() == 0
+
+
+@pytest.fixture
+def texts(spark, tmp_path):
+    """Documents in one file of some 0.4 MB, and their tokens."""
+    rng = np.random.default_rng(6)
+    words = [f"w{int(x)}" for x in rng.zipf(1.3, 120_000) % 100_000]
+    rows = [(k, " ".join(words[k * 60 : k * 60 + 60])) for k in range(2000)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "docs"))
+    return spark.read.parquet(str(tmp_path / "docs")), {k: t.split() for k, t in rows}
+
+
+def shares(df, monkeypatch, mb):
+    monkeypatch.setattr(ix, "MB_EACH", mb)
+    return df().rdd.getNumPartitions()
+
+
+def test_terms_are_shared_by_more_tasks_where_the_files_are_larger(texts, monkeypatch):
+    """Partitions were joined to as many as there are cores, so that each held a share of the whole input."""
+    docs, _ = texts
+    mb = file_bytes(docs) / 1e6
+    for make in (ix.term_frequencies, ix.positions, lambda d: ix.postings(ix.term_frequencies(d)), lambda d: compression.gaps(compression.numbered_postings(d)), lambda d: compression.lists(compression.numbered_postings(d))):
+        assert shares(lambda: make(docs), monkeypatch, mb) >= 8  # noqa: B023
+        assert 2 * 40 >= shares(lambda: make(docs), monkeypatch, mb / 40) >= 40  # noqa: B023
+    assert file_bytes(docs.alias("a").join(docs.alias("b"), "doc_id")) == 2 * file_bytes(docs)
+    assert ix.parts(docs.sparkSession.createDataFrame([(1, "a")], "doc_id long, text string")) is None
+
+
+def test_shared_terms_give_the_same_index(texts, monkeypatch, tmp_path):
+    docs, tokens = texts
+    monkeypatch.setattr(ix, "MB_EACH", file_bytes(docs) / 1e6 / 20)
+    own = ix.Index.build(docs, str(tmp_path / "index"))
+    assert {r.doc_id: r.tf for r in own.lookup("w1").collect()} == {k: t.count("w1") for k, t in tokens.items() if "w1" in t}
+    assert {r.doc_id: r.dl for r in own.lengths.collect()} == {k: len(t) for k, t in tokens.items()}
+    want = {}
+    for k, t in tokens.items():
+        for w in set(t):
+            want.setdefault(w, []).append(k)
+    postings = compression.numbered_postings(docs)
+    got = {}
+    for r in compression.gaps(postings, span=64).collect():
+        got.setdefault(r.term, []).append((r.n, r.gap))
+    assert {w: [n for n, _ in sorted(v)] for w, v in got.items()} == want
+    assert all(np.cumsum([g for _, g in sorted(v)]).tolist() == want[w] for w, v in got.items())
+    packed = compression.decompress(compression.compress(compression.lists(postings)), "back")
+    assert packed.filter("docs = back").count() == packed.count() == len(want)
+    want = ranking.top_k(ranking.tfidf(docs, {"q": "w1 w17 w99"}), 10).collect()
+    monkeypatch.setattr(ix, "MB_EACH", 4)
+    assert ranking.top_k(ranking.tfidf(docs, {"q": "w1 w17 w99"}), 10).collect() == want
