@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillmere.operators import compression, ranking, vectors
+from quillmere.operators import compression, near_duplicates, ranking, vectors
 from quillmere.operators import index as ix
 from quillmere.sources.scratch import file_bytes
 
@@ -138,3 +138,42 @@ def test_shared_terms_give_the_same_index(texts, monkeypatch, tmp_path):
     want = ranking.top_k(ranking.tfidf(docs, {"q": "w1 w17 w99"}), 10).collect()
     monkeypatch.setattr(ix, "MB_EACH", 4)
     assert ranking.top_k(ranking.tfidf(docs, {"q": "w1 w17 w99"}), 10).collect() == want
+
+
+def test_runs_and_signatures_are_of_whole_sets():
+    rng = np.random.default_rng(2)
+    lists = [rng.integers(0, 9, n).astype(np.uint64) for n in (0, 3, 5, 40, 4, 0, 1, 200)]
+    row, value = near_duplicates.shingled(np.concatenate(lists), np.cumsum([0, *map(len, lists)]), 5)
+    runs = [{tuple(v[k : k + 5]) for k in range(max(len(v) - 4, 1))} if len(v) else set() for v in lists]
+    assert np.bincount(row, minlength=8).tolist() == [len(r) for r in runs]
+    assert len(set(value.tolist())) == len(set().union(*runs))  # equal runs of two rows have one hash
+    flat, offsets = value.view(np.uint64), np.cumsum([0, *(len(r) for r in runs if r)])
+    keys = near_duplicates.band_keys(flat, offsets, 4, 2)
+    assert keys.shape == (6, 4)
+    assert all((near_duplicates.band_keys(flat[a:b], np.array([0, b - a]), 4, 2) == k).all() for a, b, k in zip(offsets, offsets[1:], keys, strict=False))
+
+
+def test_stretches_are_bounded_and_whole(monkeypatch):
+    monkeypatch.setattr(near_duplicates, "STRETCH", 50)
+    lists = [[k] * n for k, n in enumerate((0, 20, 30, 1, 120, 0, 0, 49, 2))]
+    frame = pa.RecordBatch.from_pydict({"t": pa.array(lists, pa.list_(pa.int64()))}).slice(1)
+    got = list(near_duplicates.stretches([frame], "t"))
+    assert [flat[a:b].tolist() for _, flat, at in got for a, b in zip(at, at[1:], strict=False)] == lists[1:]
+    assert all(len(flat) <= 50 or f.num_rows == 1 for f, flat, _ in got)
+
+
+def test_similar_pairs_read_texts_once_and_join_only_what_meets(spark, texts, monkeypatch):
+    """Texts were tokenised four times, and all sets were shuffled for the pairs."""
+    docs, tokens = texts
+    made = []
+    monkeypatch.setattr(near_duplicates, "materialise", lambda df, name, real=near_duplicates.materialise: made.append((name, real(df, name))) or made[-1][1])
+    twin = spark.createDataFrame([(5000, " ".join(tokens[7])), (5001, " ".join(["new", *tokens[8]])), (5001, " ".join(["new", *tokens[8]]))], "doc_id long, text string")
+    both = docs.unionByName(twin)
+    for pairs in (None, near_duplicates.exact_pairs):
+        made.clear()
+        got = {(r.a, r.b) for r in near_duplicates.linked_documents(both, pairs=pairs).collect()}
+        assert got == {(7, 5000), (8, 5001)}
+        sizes = {name: df.count() for name, df in made}
+        assert [name for name, _ in made].count("shingles") == 1 and sizes["paired-sets"] == 2 and sizes["shingles"] == 2003
+    plan = near_duplicates.linked_documents(both)._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan
