@@ -177,3 +177,27 @@ def test_similar_pairs_read_texts_once_and_join_only_what_meets(spark, texts, mo
         assert [name for name, _ in made].count("shingles") == 1 and sizes["paired-sets"] == 2 and sizes["shingles"] == 2003
     plan = near_duplicates.linked_documents(both)._jdf.queryExecution().optimizedPlan().toString()
     assert "split(" not in plan
+
+
+def test_records_are_embedded_and_indexed_in_tasks_of_bounded_size(spark, tmp_path, monkeypatch):
+    """One file of short names gave one task, which then held and sorted all vectors."""
+    rows = spark.createDataFrame([(k, f"name {k % 97} of {k}") for k in range(3000)], "id long, name string").coalesce(1)
+    assert vectors.parts_of_vectors(rows, 384, 0.5) == 10
+    assert vectors.parts_of_vectors(rows, 384, 5000) == 4  # no more than a task for 1,000 rows
+    monkeypatch.setattr(vectors, "parts_of_vectors", lambda df, size, real=vectors.parts_of_vectors: real(df, size, 0.5))
+    engine = vectors.SemanticSearch(rows).build(str(tmp_path / "s"), index=True)
+    assert len(list((tmp_path / "s/vectors").glob("*.parquet"))) == 10
+    assert len({f.name.split("-")[1] for f in (tmp_path / "s/cells").glob("*/*.parquet")}) == 10
+    assert engine.search("name 11 of 11", 3).first().id == 11
+
+
+def test_the_sample_is_the_rows_of_the_lowest_hashes(spark):
+    rows = spark.createDataFrame([(k, [float(k), 1.0]) for k in range(500)], "vec_id long, embedding array<float>")
+    want = [r.embedding for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(40).collect()]
+    seen = []
+    real, vectors.kmeans = vectors.kmeans, lambda x, *a, **b: seen.append(x.tolist()) or real(x, *a, **b)
+    try:
+        vectors.IvfPq.fit(rows, sample=40)
+    finally:
+        vectors.kmeans = real
+    assert seen[0] == want
